@@ -1,0 +1,251 @@
+"""Personal data: detected entities get keyed surrogates of the same type, format, script and gender."""
+
+from __future__ import annotations
+
+import hashlib
+import hmac
+import re
+import unicodedata
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import Scratch
+
+#: Titles (fixed values): those of women, of men, and those that tell nothing.
+WOMEN = "Mrs|Ms|Miss|Madam|Frau|Mme|Mlle|Madame|Señora|Sra|Srta|Doña|Госпожа|г-жа"
+MEN = "Mr|Sir|Herr|Monsieur|Señor|Sr|Don|Господин|г-н"
+OTHERS = "Dr|Prof|Доктор"
+PATTERNS = {
+    "email": r"(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.\p{L}{2,}",
+    "secret": r"(?i:password|passwd|pwd|token|secret|api[_-]?key)[\"']?[ \t]*[:=][ \t]*[\"']?(?P<v>[^\s\"',;]{6,})",
+    "key": r"(?<![\w-])(?:AKIA|ASIA)[0-9A-Z]{16}(?![\w-])|(?<![\w-])(?:ghp_|gho_|sk-|xox[bp]-)[\w-]{16,}",
+    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)",
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?!\w)",
+    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "phone": r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w.+-])\+\d{8,15}(?![\w-])",
+    "person": rf"(?<!\w)(?P<t>(?:{WOMEN})|(?:{MEN})|(?:{OTHERS}))(?:\.[ \t]?|[ \t])(?P<a>\p{{Lu}}\p{{Ll}}+)(?:[ \t](?P<b>\p{{Lu}}\p{{Ll}}+))?",
+}
+FOUND = {k: regex.compile(v) for k, v in PATTERNS.items()}
+HINTS = {"email": re.compile("@"), "secret": re.compile("(?i)passw|pwd|token|secret|key"), "person": re.compile(rf"(?:{WOMEN}|{MEN}|{OTHERS})[. \t]")}
+DIGIT = re.compile("[0-9]")
+SHE, HE = regex.compile(f"(?:{WOMEN})$"), regex.compile(f"(?:{MEN})$")
+#: Syllables of invented names, by script, and the endings of women's, men's and family names.
+NAMES = {
+    "Latin": (["ba", "ca", "da", "el", "fa", "ga", "ha", "in", "jo", "ka", "la", "mi", "na", "or", "pe", "ra", "sa", "ti", "ul", "ve"], {"f": ["na", "ra", "la", "ia"], "m": ["on", "rt", "ck", "us"], "n": ["le", "ry", "is", "el"], "s": ["son", "ner", "man", "berg"]}),
+    "Cyrillic": (["ба", "ва", "га", "да", "ел", "жа", "за", "ин", "ка", "ла", "ми", "на", "ор", "пе", "ра", "са", "ти", "ул", "фе", "ха"], {"f": ["на", "ра", "ла", "ия"], "m": ["он", "рт", "ск", "им"], "n": ["ле", "ри", "ис", "ел"], "s": ["енко", "ов", "ман", "ский"]}),
+    "Greek": (["βα", "γα", "δα", "ελ", "ζα", "θα", "ιν", "κα", "λα", "μι", "να", "ορ", "πε", "ρα", "σα", "τι", "υλ", "φε", "χα", "ψι"], {"f": ["να", "ρα", "λα", "ια"], "m": ["ος", "ης", "ας", "ων"], "n": ["λε", "ρι", "ις", "ελ"], "s": ["ιδης", "ακης", "ου", "εας"]}),
+}
+
+
+class Entity(NamedTuple):
+    """A mention: its range, its kind, and the value that all mentions of the same thing share."""
+
+    start: int
+    end: int
+    kind: str
+    core: str
+
+
+def script(word: str) -> str:
+    name = unicodedata.name(word[0], "")
+    return next((s for s in ("Cyrillic", "Greek") if name.startswith(s.upper())), "Latin")
+
+
+def detect(text: str) -> list[Entity]:
+    """The mentions in a text in their order, without overlaps; of two that overlap the kind that stands first in PATTERNS."""
+    out: list[Entity] = []
+    digits = DIGIT.search(text) is not None
+    for kind, pattern in FOUND.items():
+        hint = HINTS.get(kind)
+        if not (hint.search(text) if hint else digits):
+            continue
+        for m in pattern.finditer(text):
+            if kind == "person":
+                title = m["t"]
+                sex = "f" if SHE.match(title) else "m" if HE.match(title) else "n"
+                first, last = (("a", "b") if m["b"] else (None, "a"))
+                new = [Entity(*m.span(last), "family", m[last].casefold())] + [Entity(*m.span("a"), f"given_{sex}", m["a"].casefold())] * bool(first)
+            elif kind == "secret":
+                new = [Entity(*m.span("v"), kind, m["v"])]
+            elif kind == "email":
+                new = [Entity(*m.span(), kind, m[0].casefold())]
+            elif kind in ("ip", "key"):
+                new = [Entity(*m.span(), kind, m[0])]
+            else:
+                new = [Entity(*m.span(), kind, "".join(c for c in m[0] if c.isalnum()))]
+            out += [e for e in new if not any(e.start < x.end and x.start < e.end for x in out)]
+    return sorted(out)
+
+
+class Stream:
+    """Numbers drawn from a key and a value by HMAC-SHA256."""
+
+    def __init__(self, key: bytes, *parts: str):
+        self.key, self.seed, self.n, self.pool = key, "\x1f".join(parts).encode("utf-8", "surrogatepass"), 0, b""
+
+    def draw(self, below: int) -> int:
+        if len(self.pool) < 4:
+            self.pool += hmac.new(self.key, self.seed + self.n.to_bytes(4, "big"), hashlib.sha256).digest()
+            self.n += 1
+        x, self.pool = int.from_bytes(self.pool[:4], "big"), self.pool[4:]
+        return x % below
+
+
+def like(s: Stream, text: str, keep: int = 0) -> str:
+    """Digits for digits, hexadecimal for hexadecimal runs, letters for letters of their case and script; marks stay."""
+    hexa = re.fullmatch("(?=.*[a-f])[0-9a-f]{8,}", text) is not None
+    out = []
+    for i, c in enumerate(text):
+        if i < keep or not c.isalnum():
+            out.append(c)
+        elif hexa:
+            out.append("0123456789abcdef"[s.draw(16)])
+        elif c.isdigit():
+            out.append(str(s.draw(10)))
+        else:
+            base = {"Cyrillic": ("а", 32), "Greek": ("α", 17)}.get(script(c), ("a", 26))
+            x = chr(ord(base[0]) + s.draw(base[1]))
+            out.append(x.upper() if c.isupper() else x)
+    return "".join(out)
+
+
+def luhn(digits: str) -> int:
+    """0 if the check digit, the last one, is right."""
+    return sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(digits)), 1)) % 10
+
+
+def surrogate(key: bytes, kind: str, core: str, attempt: int) -> str:
+    """The surrogate's core. The same key, kind, core and attempt give the same one."""
+    s = Stream(key, kind.split("_")[0], core, str(attempt))
+    if kind == "email":
+        local, _, host = core.partition("@")
+        label, _, rest = host.partition(".")
+        site = like(Stream(key, "site", host, str(attempt // 4)), label)
+        return f"{like(s, local)}@{site}.{rest}"
+    if kind == "ip":
+        a = core.split(".")
+        keep = 2 if core.startswith(("192.168.", "169.254.")) else 1 if a[0] in ("10", "127") else 0
+        first = [*(x for x in range(1, 224) if x not in (10, 127, 169, 172, 192))]
+        return ".".join(a[:keep] + [str(first[s.draw(len(first))]) if i == 0 else str(s.draw(256)) for i in range(keep, 4)])
+    if kind == "card":
+        body = like(s, core, 1)
+        return next(x for d in "0123456789" if luhn(x := body[:-1] + d) == 0) if luhn(core) == 0 else body
+    if kind in ("family", "given_f", "given_m", "given_n"):
+        syllables, endings = NAMES[script(core)]
+        end = endings["s" if kind == "family" else kind[-1]]
+        return "".join(syllables[s.draw(len(syllables))] for _ in range(2 + s.draw(2) + attempt // 4)) + end[s.draw(len(end))]
+    if kind == "phone":
+        return like(s, core, max(0, len(core) - 10))
+    if kind == "key":
+        return like(s, core, 4)
+    return like(s, core, 4 if kind == "iban" else 0)
+
+
+def render(core: str, mention: str, kind: str) -> str:
+    """A surrogate in a mention's form: its separators, its capitals."""
+    if kind.startswith(("given", "family")):
+        return core.upper() if mention.isupper() and len(mention) > 1 else core[:1].upper() + core[1:]
+    if kind in ("iban", "card", "ssn", "phone"):
+        chars = iter(core)
+        return "".join(next(chars) if c.isalnum() else c for c in mention)
+    if kind == "email" and mention != mention.casefold():
+        return core.upper() if mention.isupper() else core
+    return core
+
+
+def replace(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, list[Entity]]:
+    found, out, at = detect(text), [], 0
+    for e in found:
+        out += [text[at : e.start], render(surrogate(key, e.kind, e.core, attempts.get((e.kind, e.core), 0)), text[e.start : e.end], e.kind)]
+        at = e.end
+    return "".join([*out, text[at:]]), found
+
+
+def settle(entities: DataFrame, key: bytes, scratch: Scratch, most: int = 200) -> DataFrame:
+    """(kind, core, attempt) of the entities whose first surrogate won't do.
+
+    In each round the open entities' surrogates are compared with all real values of their family of kinds, with those
+    already settled, and with each other; of equal ones the smallest entity's stays, the others draw anew. So different
+    entities never share a surrogate, and no surrogate is anyone's real value.
+    """
+
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kind, core, tries = (b.column(i).to_pylist() for i in range(3))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([surrogate(key, *x) for x in zip(kind, core, tries, strict=True)], pa.string())], ["kind", "core", "attempt", "fake"])
+
+    family = F.substring_index("kind", "_", 1)
+    real = scratch.table(entities.select(family.alias("_f"), F.col("core").alias("_core")).distinct(), "real")
+    now, settled, late, k = entities.select("kind", "core", F.lit(0).alias("attempt")), None, [], 0
+    while True:
+        offered = scratch.table(now.mapInArrow(offer, "kind string, core string, attempt int, fake string").withColumn("f", family), f"offer{k}")
+        first = offered.groupBy("f", "fake").agg(F.min(F.struct("kind", "core")).alias("w")).select(F.col("f").alias("_wf"), F.col("fake").alias("_wfake"), F.col("w.kind").alias("_wk"), F.col("w.core").alias("_wc"))
+        told = offered.join(first, (F.col("f") == F.col("_wf")) & (F.col("fake") == F.col("_wfake")))
+        told = told.join(real, (F.col("f") == F.col("_f")) & (F.col("fake") == F.col("_core")), "left")
+        good = (F.col("kind") == F.col("_wk")) & (F.col("core") == F.col("_wc")) & F.col("_core").isNull()
+        if settled is not None:
+            told = told.join(settled, (F.col("f") == F.col("_sf")) & (F.col("fake") == F.col("_sfake")), "left")
+            good = good & F.col("_sf").isNull()
+        told = scratch.table(told.select("kind", "core", "attempt", "fake", "f", good.alias("good")), f"told{k}")
+        done = told.where("good")
+        if k:
+            late.append(done.select("kind", "core", "attempt"))
+        new = done.select(F.col("f").alias("_sf"), F.col("fake").alias("_sfake"))
+        settled = new if settled is None else settled.union(new)
+        now = told.where("not good").select("kind", "core", (F.col("attempt") + 1).alias("attempt"))
+        k += 1
+        if now.isEmpty():
+            break
+        if k > most:
+            raise RuntimeError("surrogates still collide: the format leaves too few values")
+    if not late:
+        return now
+    out = late[0]
+    for x in late[1:]:
+        out = out.union(x)
+    return scratch.table(out, "late")
+
+
+def protect(docs: DataFrame, spark: SparkSession, key: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, text with surrogates, n_entities, kinds (their different kinds, sorted).
+
+    All mentions of an entity in all rows get one surrogate, different entities different ones, none equal to a real
+    value. Null text stays null, with no entities; texts without entities are unchanged. Rows of equal id are judged each by its text.
+    """
+    scratch = Scratch(spark, "pii")
+    own = F.xxhash64("text")
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = {(k, e.kind, e.core) for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) if t.is_valid for e in detect(t.as_py())}
+            k, kind, core = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(k, "i8"), pa.array(kind, pa.string()), pa.array(core, pa.string())], ["of", "kind", "core"])
+
+    mentions = scratch.table(src.select(own, "text").mapInArrow(scan, "of long, kind string, core string"), "mentions")
+    entities = scratch.table(mentions.select("kind", "core").distinct(), "entities")
+    late = settle(entities, key, scratch).withColumnRenamed("kind", "_k").withColumnRenamed("core", "_c")
+    odd = mentions.join(late, (F.col("kind") == F.col("_k")) & (F.col("core") == F.col("_c"))).select("of", F.struct("kind", "core", "attempt").alias("x")).distinct()
+    odd = scratch.table(odd.groupBy("of").agg(F.collect_list("x").alias("odd")), "odd")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, counts, kinds = [], [], []
+            for t, o in zip(b.column(1), b.column(2), strict=True):
+                if not t.is_valid:
+                    texts, counts, kinds = [*texts, None], [*counts, 0], [*kinds, ""]
+                    continue
+                new, found = replace(t.as_py(), key, {(x["kind"], x["core"]): x["attempt"] for x in o.as_py() or ()})
+                texts.append(new)
+                counts.append(len(found))
+                kinds.append(",".join(sorted({e.kind for e in found})))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(counts, "i8"), pa.array(kinds, pa.string())], [id_col, "text", "n_entities", "kinds"])
+
+    both = src.join(odd, own == F.col("of"), "left").select("id", "text", "odd")
+    return both.mapInArrow(run, f"`{id_col}` {src.schema['id'].dataType.simpleString()}, text string, n_entities long, kinds string")

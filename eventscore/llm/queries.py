@@ -45,5 +45,48 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), spark)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_quality_lines, op7_token_files, op8_mix_sources, op10_decontaminate)}
-ORACLES: dict[str, str] = {}
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import judge_urls
+
+    return judge_urls(_table(spark, sf_dir, "pages"), spark, RULES)
+
+
+def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warczip import archive_table
+
+    return archive_table(_table(spark, sf_dir, "pages"), spark)
+
+
+def op5_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import rotate
+
+    return rotate(_table(spark, sf_dir, "conversations"), spark)
+
+
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import protect
+
+    return protect(_table(spark, sf_dir, "documents"), spark, b"eventscore")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"), spark)
+
+
+#: The rules of op2: (host and path, verdict).
+RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def _oracles() -> dict[str, str]:
+    from .chat import rotate_sql
+
+    return {"op5_chat_rotation": rotate_sql()}
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_simhash, op2_url_filter, op3_quality_lines, op4_warc_zip, op5_chat_rotation, op6_pii_surrogates, op7_token_files, op8_mix_sources, op9_language_id, op10_decontaminate)
+}
+ORACLES = _oracles()
