@@ -27,9 +27,12 @@ def shared_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """A folder for one run of an operator, below the shared one; it goes when the session ends."""""
+    """A folder for one run of an operator, below the shared one; it goes when the session ends, or by release()."""
+
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
+        Scratch.made.append(self)
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         jvm = spark.sparkContext._jvm
@@ -43,6 +46,11 @@ class Scratch:
         df.write.parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def release(self) -> None:
+        """Deletes the folder; what was lazily derived from its tables can't be read afterwards."""
+        self._fs.delete(self._at, True)
+        Scratch.made.remove(self)
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)

@@ -130,4 +130,5 @@ def take(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", text_c
     scratch = Scratch(spark, "take")
     whole = scratch.table(sized_docs(docs, id_col, text_col, source_col, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")), "whole")
     copies = scratch.table(mix_plan(whole.select("row", "key", "id", "source", "size"), scratch, **how).where("copies > 0 and size > 0").select(F.col("row").alias("_row"), "copies"), "copies")
-    return whole.select("row", "doc").join(copies, F.col("row") == F.col("_row")).select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
+    # always a merge join: the plan decides over as many rows as there are documents, so it is never a small side
+    return whole.select("row", "doc").join(copies.hint("merge"), F.col("row") == F.col("_row")).select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
