@@ -30,16 +30,22 @@ DOC = np.dtype([("at", "<u8"), ("n", "<u8"), ("named", "u1"), ("id", "<i8")])
 
 class Encoder:
     """Ids of whole texts. A text is cut at plain spaces and line ends, which the tokenizer drops, and a bounded memory
-    keeps the ids of the pieces that come again; the ids are those of the whole text's encoding."""
+    keeps the ids of the pieces that come again; the ids are those of the whole text's encoding.
 
+    New pieces go to the library many at a time, with a mark between them that is one id and in none of them.
+    """
+
+    MARK = "\u00b6"
     _kept: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.most, self.memory = most, {}
+        self.most, self.young, self.old = most, {}, {}
+        mark = self.tok.encode(self.MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -47,19 +53,36 @@ class Encoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        plain = [p for p in pieces if self.mark is not None and self.MARK not in p]
+        if plain:
+            ids = np.frombuffer(self._ids([f" {self.MARK} ".join(plain)])[0], self.dtype)
+            parts = np.split(ids, np.flatnonzero(ids == self.mark))
+            if len(parts) == len(plain):
+                self.young.update((p, (x[1:] if k else x).tobytes()) for k, (p, x) in enumerate(zip(plain, parts, strict=True)))
+        rest = [p for p in pieces if p not in self.young]
+        self.young.update(zip(rest, self._ids(rest), strict=True))
+
     def encode(self, text: str, end: int | None) -> bytes:
+        if text.isascii() and "<|" not in text:
+            text = text.lower()
         pieces = text.replace("\n", " ").split(" ")
-        new = [p for p in set(pieces) if p not in self.memory]
-        if len(self.memory) + len(new) > self.most:
-            self.memory.clear()
+        new = [p for p in set(pieces) if p not in self.young]
+        if len(self.young) + len(new) > self.most // 2:
+            # the older half goes; what is still in use moves over
+            self.old, self.young = self.young, {}
             new = list(set(pieces))
-        fresh = {}
-        if new:
-            for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                fresh[p] = np.array(e.ids, self.dtype).tobytes()
-            self.memory.update((p, b) for p, b in fresh.items() if len(p) <= 64)
-        memory = self.memory if len(fresh) == 0 else {**fresh, **{p: self.memory[p] for p in set(pieces) if p in self.memory}}
-        out = b"".join(map(memory.__getitem__, pieces))
+        again = [p for p in new if p in self.old]
+        self.young.update((p, self.old[p]) for p in again)
+        if len(again) < len(new):
+            self._learn([p for p in new if p not in self.young])
+        out = b"".join(map(self.young.__getitem__, pieces))
+        for p in new:
+            if len(p) > 64:
+                del self.young[p]
         return out if end is None else out + np.array([end], self.dtype).tobytes()
 
 
