@@ -35,17 +35,18 @@ class Encoder:
     New pieces go to the library many at a time, with a mark between them that is one id and in none of them.
     """
 
-    MARK = "\u00b6"
+    #: Candidates for the mark: signs that are no letters; the first that is a single id is used.
+    MARKS = "\u00b6\u00a7\u2022\u2665\u2764\u2605\u20ac\u2026\u00bb"
     _kept: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.most, self.young, self.old = most, {}, {}
-        mark = self.tok.encode(self.MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        single = [(m, ids[0]) for m in self.MARKS if len(ids := self.tok.encode(m, add_special_tokens=False).ids) == 1]
+        self.sign, self.mark = single[0] if single else ("", None)
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -57,33 +58,35 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if self.mark is not None and self.MARK not in p]
-        if plain:
-            ids = np.frombuffer(self._ids([f" {self.MARK} ".join(plain)])[0], self.dtype)
-            parts = np.split(ids, np.flatnonzero(ids == self.mark))
-            if len(parts) == len(plain):
-                self.young.update((p, (x[1:] if k else x).tobytes()) for k, (p, x) in enumerate(zip(plain, parts, strict=True)))
+        plain = [p for p in pieces if self.mark is not None and self.sign not in p]
+        for k in range(0, len(plain), 4096):
+            some = plain[k : k + 4096]
+            ids = np.frombuffer(self._ids([f" {self.sign} ".join(some)])[0], self.dtype)
+            at = np.flatnonzero(ids == self.mark)
+            if len(at) == len(some) - 1:
+                raw, w = ids.tobytes(), self.dtype.itemsize
+                starts, ends = [0, *((at + 1) * w).tolist()], [*(at * w).tolist(), len(raw)]
+                self.young.update(zip(some, [raw[x:y] for x, y in zip(starts, ends, strict=True)], strict=True))
         rest = [p for p in pieces if p not in self.young]
         self.young.update(zip(rest, self._ids(rest), strict=True))
 
-    def encode(self, text: str, end: int | None) -> bytes:
-        if text.isascii() and "<|" not in text:
-            text = text.lower()
-        pieces = text.replace("\n", " ").split(" ")
-        new = [p for p in set(pieces) if p not in self.young]
-        if len(self.young) + len(new) > self.most // 2:
+    def encode_many(self, texts: list[str], end: int | None) -> list[bytes]:
+        texts = [t.lower() if t.isascii() and "<|" not in t else t for t in texts]
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        every = set().union(*cut)
+        if len(self.young) + len(every) > self.most // 2:
             # the older half goes; what is still in use moves over
             self.old, self.young = self.young, {}
-            new = list(set(pieces))
-        again = [p for p in new if p in self.old]
-        self.young.update((p, self.old[p]) for p in again)
-        if len(again) < len(new):
-            self._learn([p for p in new if p not in self.young])
-        out = b"".join(map(self.young.__getitem__, pieces))
+        new = [p for p in every if p not in self.young]
+        self.young.update((p, self.old[p]) for p in new if p in self.old)
+        if learn := [p for p in new if p not in self.young]:
+            self._learn(learn)
+        last = b"" if end is None else np.array([end], self.dtype).tobytes()
+        out = [b"".join(map(self.young.__getitem__, pieces)) + last for pieces in cut]
         for p in new:
             if len(p) > 64:
                 del self.young[p]
-        return out if end is None else out + np.array([end], self.dtype).tobytes()
+        return out
 
 
 class FrameWriter:
@@ -164,17 +167,18 @@ def encode_frame(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder.at(tokenizer)
         for b in batches:
-            ids, ties, out, held = [], [], [], 0
-            for k, text in enumerate(b.column(2)):
-                data = enc.encode(text.as_py() or "", end)
-                ids.append(b.column(0)[k].as_py())
-                ties.append(b.column(1)[k].as_py())
-                out.append(data)
-                held += len(data)
-                if held > 1 << 23:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, "i8"), pa.array(ties, "i8"), pa.array(out, pa.binary())], ["id", "tie", "ids"])
-                    ids, ties, out, held = [], [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids, "i8"), pa.array(ties, "i8"), pa.array(out, pa.binary())], ["id", "tie", "ids"])
+            at = 0
+            while at < b.num_rows:
+                # about four million characters at a time
+                some, held = [], 0
+                for x in b.column(2)[at:]:
+                    some.append(x.as_py() or "")
+                    held += len(some[-1])
+                    if held > 1 << 22:
+                        break
+                part = b.slice(at, len(some))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(enc.encode_many(some, end), pa.binary())], ["id", "tie", "ids"])
+                at += len(some)
 
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), text.alias("text")).mapInArrow(run, "id long, tie long, ids binary")
