@@ -25,8 +25,7 @@ def word_distance(a: Sequence[str], b: Sequence[str]) -> int:
     return row[-1]
 
 
-@F.pandas_udf("double")
-def wer(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+def _wer(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """Word error rate of two arrays of words; without a reference 1 if anything was heard, else 0."""
 
     def one(r, h):
@@ -36,8 +35,7 @@ def wer(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([one(r, h) for r, h in zip(ref, hyp, strict=True)])
 
 
-@F.pandas_udf("matched long, longest long, ratio double")
-def similarity(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+def _similarity(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Words in common runs, the longest run, and twice the first over all words."""
     out = []
     for x, y in zip(a, b, strict=True):
@@ -48,8 +46,7 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["matched", "longest", "ratio"])
 
 
-@F.pandas_udf("array<struct<i:int,word:string,heard:string,at:double>>")
-def reconcile(ref: pd.Series, heard: pd.Series, starts: pd.Series) -> pd.Series:
+def _reconcile(ref: pd.Series, heard: pd.Series, starts: pd.Series) -> pd.Series:
     """The reference's words with times: those matched take the heard start, runs between two take even shares of the gap,
     a run at the start steps back 0.4 a word, a run at the end is dropped."""
 
@@ -74,3 +71,15 @@ def reconcile(ref: pd.Series, heard: pd.Series, starts: pd.Series) -> pd.Series:
 
 def tokens(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(c), "\\s+"), lambda w: F.btrim(F.regexp_replace(w, "[^a-z0-9']", ""), F.lit("'"))), lambda w: w != "")
+
+
+def wer(ref: Column, hyp: Column) -> Column:
+    return F.pandas_udf(_wer, "double")(ref, hyp)
+
+
+def similarity(a: Column, b: Column) -> Column:
+    return F.pandas_udf(_similarity, "matched long, longest long, ratio double")(a, b)
+
+
+def reconcile(ref: Column, heard: Column, starts: Column) -> Column:
+    return F.pandas_udf(_reconcile, "array<struct<i:int,word:string,heard:string,at:double>>")(ref, heard, starts)

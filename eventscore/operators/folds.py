@@ -66,6 +66,8 @@ def segments(df: DataFrame, by: list[str], on: str, longest: float, rest: float)
 def spaced_peaks(df: DataFrame, by: list[str], on: str, strength: str, least: float) -> DataFrame:
     """Peaks at least `least` apart, stronger ones first."""
 
+    cols = [*df.columns]
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         taken: list[float] = []
         keep = []
@@ -74,7 +76,7 @@ def spaced_peaks(df: DataFrame, by: list[str], on: str, strength: str, least: fl
             if all(abs(t - x) >= least for x in taken):
                 taken.append(t)
                 keep.append(row.Index)
-        return pdf.loc[keep, df.columns]
+        return pdf.loc[keep, cols]
 
     return _stretches(df, by, on, least).groupBy(*by, "_pack").applyInPandas(fold, df.schema)
 
