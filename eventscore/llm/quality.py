@@ -58,7 +58,7 @@ def shared_lines(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id"
     scratch = Scratch(spark, "quality")
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(host_col)).alias("host"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     whole = F.split(F.regexp_replace(F.lower("text"), "[^\\p{L}\\n]+", " "), "\n", -1)
-    lines = F.array_distinct(F.filter(F.transform(whole, F.trim), lambda x: x != ""))
+    lines = F.array_distinct(F.filter(F.transform(whole, lambda x: F.trim(x)), lambda x: x != ""))
     hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("size")))
     docs_lines = scratch.table(src.select(F.monotonically_increasing_id().alias("row"), "id", "host", hashed.alias("lines")), "lines")
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["size"])
