@@ -185,7 +185,7 @@ def srt7_best_offset(spark: SparkSession, d: str) -> DataFrame:
     b = b.withColumn("k", F.xxhash64(F.slice("bw", 3, 4)))
     t = table(spark, d, "documents").select("doc_id", align.tokens(F.col("text")).alias("w")).withColumn("n", F.size("w"))
     at = t.where("n >= 6").select("doc_id", "w", F.explode(F.sequence(F.lit(3), F.col("n") - 3)).alias("off"))
-    hits = at.withColumn("k", F.xxhash64(F.slice("w", F.col("off"), 4))).join(F.broadcast(b), "k")
+    hits = at.withColumn("k", F.xxhash64(F.slice("w", F.col("off"), 4))).join(b, "k")
     part = F.slice("w", F.greatest(F.col("off") - 2, F.lit(1)), F.size("bw"))
     r = hits.select("item_id", "doc_id", (F.col("off") - 2).cast("long").alias("off"), align.similarity(F.col("bw"), part).alias("m")).select("item_id", "doc_id", "off", F.col("m.ratio").alias("ratio")).where("ratio >= 0.5")
     return series.top_k(r, ["item_id"], [F.desc("ratio"), F.col("doc_id"), F.col("off")], 1).select("item_id", "doc_id", "off", r4(F.col("ratio"), "ratio"))
