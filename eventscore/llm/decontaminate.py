@@ -94,5 +94,5 @@ def contaminated(docs: DataFrame, items: DataFrame, spark: SparkSession, *, id_c
 
 def without_leaks(docs: DataFrame, items: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of docs that leak no item, with all their columns. Of rows with the same id all go if one leaks; null is an id."""
-    found = Scratch(spark, "leaks").table(contaminated(docs, items, spark, id_col=id_col, **how).select(F.col(id_col).alias("_leak")).distinct(), "ids")
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_leak")), "left_anti")
+    found = Scratch(spark, "leaks").table(contaminated(docs, items, spark, id_col=id_col, **how).select(F.col(id_col).alias("__es_leak")).distinct(), "ids")
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__es_leak")), "left_anti")

@@ -86,11 +86,11 @@ def judge(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", text_
 
 def clean(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars", **limits) -> DataFrame:
     """The kept rows with all their columns; lines above the limits are cut from their texts, and chars_col follows."""
-    found = shared_lines(docs, spark, id_col=id_col, text_col=text_col, host_col=host_col, **limits).select(F.col("id").alias("_id"), F.col("lines").alias("_lines"), "depleted").withColumnRenamed("depleted", "_depleted")
+    found = shared_lines(docs, spark, id_col=id_col, text_col=text_col, host_col=host_col, **limits).select(F.col("id").alias("__es_id"), F.col("lines").alias("__es_lines"), "depleted").withColumnRenamed("depleted", "__es_depleted")
     base = docs.where(~base_failed(base_counts(F.col(text_col))))
-    both = base.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left").where(~F.coalesce("_depleted", F.lit(False)))
-    rest = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x: ~F.array_contains("_lines", F.xxhash64(normal_line(x)))), "\n")
-    text = F.when(F.size("_lines") > 0, rest).otherwise(F.col(text_col))
-    out = both.withColumn("_text", text)
-    new = {text_col: F.col("_text")} | ({chars_col: F.when(F.size("_lines") > 0, F.length("_text").cast("long")).otherwise(F.col(chars_col))} if chars_col in docs.columns else {})
+    both = base.join(found, F.col(id_col).eqNullSafe(F.col("__es_id")), "left").where(~F.coalesce("__es_depleted", F.lit(False)))
+    rest = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x: ~F.array_contains("__es_lines", F.xxhash64(normal_line(x)))), "\n")
+    text = F.when(F.size("__es_lines") > 0, rest).otherwise(F.col(text_col))
+    out = both.withColumn("__es_text", text)
+    new = {text_col: F.col("__es_text")} | ({chars_col: F.when(F.size("__es_lines") > 0, F.length("__es_text").cast("long")).otherwise(F.col(chars_col))} if chars_col in docs.columns else {})
     return out.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))

@@ -302,7 +302,7 @@ def keep_one(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", te
     Of several rows with that id one stays. Rows without an id can't be named and all stay.
     """
     found = near_duplicates(docs, spark, id_col=id_col, text_col=text_col, **how)
-    chosen = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
+    chosen = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__es_keep")).distinct()
     chosen = Scratch(spark, "chosen").table(chosen, "ids")
-    named = docs.join(chosen, docs[id_col] == chosen["_keep"], "left_semi").dropDuplicates([id_col])
+    named = docs.join(chosen, docs[id_col] == chosen["__es_keep"], "left_semi").dropDuplicates([id_col])
     return named.union(docs.where(F.col(id_col).isNull()))
