@@ -239,7 +239,9 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
 
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     numbered = manifest.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    return numbered.select("path", "bytes", "first").repartition(F.col("path")).mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
+    # a number of partitions, or else Spark merges these small rows into one task
+    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return numbered.select("path", "bytes", "first").repartition(parts, "path").mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_documents(folder: str, path: str, size: int, at: Iterable[int]) -> list[np.ndarray]:

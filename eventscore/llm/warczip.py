@@ -250,7 +250,9 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
         kinds = {"page_id": "i8", "payload_bytes": "i8", "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": "i8"}
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds.values())], list(kinds))
 
-    return manifest.select("path", "bytes").repartition(F.col("path")).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # a number of partitions, or else Spark merges these small rows into one task
+    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("path", "bytes").repartition(parts, "path").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_table(pages: DataFrame, spark: SparkSession, **how) -> DataFrame:
