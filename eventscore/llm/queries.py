@@ -79,10 +79,38 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 
+#: judge() over `documents` as SQL for DuckDB, where doc_id is unique and not null. Lines and windows are compared as texts, not by hashes.
+QUALITY_SQL = r"""
+with d as (select doc_id, source, coalesce(text, '') as t from documents),
+w as (select doc_id, source, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as full_lines from d),
+each_word as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as i from w),
+win as (select doc_id, i, x as a, lead(x) over o as b, lead(x, 2) over o as c from each_word window o as (partition by doc_id order by i)),
+again as (select doc_id, i from win where c is not null qualify count(*) over (partition by doc_id, a, b, c) > 1),
+rep as (select doc_id, count(distinct i + k) as n from again, range(3) as r(k) group by doc_id),
+base as (select w.doc_id, source, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+      length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+      (len(full_lines) - len(list_distinct(full_lines)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words
+      from w left join rep on rep.doc_id = w.doc_id),
+split as (select doc_id, source, trim(unnest(string_split(regexp_replace(lower(t), '[^\p{L}\n]+', ' ', 'g'), chr(10)))) as x from d),
+line as (select distinct doc_id, source, x from split where x <> ''),
+host as (select source, count(*) as docs from d group by source),
+often as (select line.source, x, min(doc_id) as first_id from line join host on line.source is not distinct from host.source
+      group by line.source, x having count(*) > 10 and count(*) > 0.05::double * max(docs)),
+gone as (select doc_id, count(*)::bigint as n, sum(length(line.x)) as size from line join often on line.source is not distinct from often.source and line.x = often.x
+      where doc_id <> first_id group by doc_id),
+total as (select doc_id, sum(length(x)) as size from line group by doc_id),
+told as (select base.*, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, coalesce(gone.n, 0)::bigint as n_removed_lines,
+      coalesce(gone.size > 0.5::double * total.size, false) as depleted
+      from base left join gone on gone.doc_id = base.doc_id left join total on total.doc_id = base.doc_id)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_lines, depleted, not base_failed and not depleted as kept from told
+"""
+
+
 def _oracles() -> dict[str, str]:
     from .chat import rotate_sql
 
-    return {"op5_chat_rotation": rotate_sql()}
+    return {"op5_chat_rotation": rotate_sql(), "op3_quality_lines": QUALITY_SQL}
 
 
 QUERIES = {

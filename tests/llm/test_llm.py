@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import os
 import random
 import re
 import zipfile
@@ -293,3 +294,18 @@ def test_empty_tables(spark, odd, tokenizer):
     ):
         assert out.count() == 0
     assert simhash.near_duplicates(odd, spark).count() == len(ODD)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_equals_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    at = "/root/testdata/sf0.001"
+    if not os.path.isdir(at):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for table in ("documents", "conversations"):
+        con.sql(f"create view {table} as select * from '{at}/{table}.parquet'")
+    out, want = queries.QUERIES[name](spark, at), con.sql(queries.ORACLES[name])
+    cols = sorted(out.columns)
+    assert cols == sorted(want.columns)
+    assert sorted(map(str, map(tuple, out.select(*cols).collect()))) == sorted(map(str, want.project(", ".join(f'"{c}"' for c in cols)).fetchall()))
