@@ -106,11 +106,21 @@ told as (select base.*, n_words < 50 or 100 * n_repeat_words > 50 * n_words as b
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_lines, depleted, not base_failed and not depleted as kept from told
 """
 
+#: archive_table() over `pages` as SQL for DuckDB, where page_id is unique and not null. Five hexadecimal digits are four of base32.
+WARC_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+h as (select page_id, octet_length(payload)::bigint as payload_bytes, sha1(payload) as hex, min(page_id) over (partition by payload) as first_id from p)
+select page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::bigint >> (15 - 5 * (i % 4))) & 31)), 1)), '') as payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type, case when page_id <> first_id then first_id end as refers_to
+from h
+"""
+
 
 def _oracles() -> dict[str, str]:
     from .chat import rotate_sql
 
-    return {"op5_chat_rotation": rotate_sql(), "op3_quality_lines": QUALITY_SQL}
+    return {"op5_chat_rotation": rotate_sql(), "op3_quality_lines": QUALITY_SQL, "op4_warc_zip": WARC_SQL}
 
 
 QUERIES = {
