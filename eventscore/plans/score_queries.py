@@ -209,11 +209,11 @@ DOCUMENT = """%version 0.3
 meta src=ours conf=0.9
 %pat riff { 1 C4 1b 80
   2 E4 0.5b dev+10 | 3 G4 }
-bars 1-4 = riff ~0.96
-bar 5 = like 1-1 vel -10
+bars 1-4 riff ~0.96
+bars 5 like 1 vel -10
 6:1 C5 0.5b 90 ?0.7 | 6:3 A4
 :harmony
-bars 1-2 = Am | C
+bars 1-2 Am | C
 :future.thing weird=1
 # a comment
 @1.0 blah 42
