@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions import pitch
 from ..operators import align, folds, joins, measures, scoring, series, signal
-from ..sources import sc
 from ..streaming.windows import streamed_counts
 from .base import events, query, r4, table
 from .events_queries import HOURLY_SQL, H, hourly
@@ -200,32 +199,6 @@ def reconcile(spark: SparkSession, d: str) -> DataFrame:
     return b.select("item_id", F.explode(align.reconcile(F.col("ref"), heard, times)).alias("x")).select("item_id", F.col("x.i").cast("long").alias("i"), "x.word", "x.heard", r4(F.col("x.at"), "at"))
 
 
-DOCUMENT = """%version 0.3
-@title "a small
-  example"
-@tempo 120
-:notes.lead inst=keys
-  env={a=5ms d=0.2s}
-meta src=ours conf=0.9
-%pat riff { 1 C4 1b 80
-  2 E4 0.5b dev+10 | 3 G4 }
-bars 1-4 riff ~0.96
-bars 5 like 1 vel -10
-6:1 C5 0.5b 90 ?0.7 | 6:3 A4
-:harmony
-bars 1-2 Am | C
-:future.thing weird=1
-# a comment
-@1.0 blah 42
-"""
-
-
-@query()
-def sc_parse(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.createDataFrame([("small", DOCUMENT)], "doc_id string, text string")
-    return sc.parse_documents(docs).groupBy("doc_id", "stream", "kind").agg(F.count("*").alias("n"))
-
-
 @query()
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Window counts by a stream over events; tests hold them against the batch query."""
