@@ -10,6 +10,8 @@ only the frames that hold the documents asked for.
 from __future__ import annotations
 
 import struct
+import threading
+import time
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -45,6 +47,7 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.most, self.young, self.old = most, {}, {}
+        self.used, self.lock = 0.0, threading.Lock()
         single = [(m, ids[0]) for m in self.MARKS if len(ids := self.tok.encode(m, add_special_tokens=False).ids) == 1]
         self.sign, self.mark = single[0] if single else ("", None)
 
@@ -70,7 +73,23 @@ class Encoder:
         rest = [p for p in pieces if p not in self.young]
         self.young.update(zip(rest, self._ids(rest), strict=True))
 
+    def rest(self, seconds: float = 15.0) -> None:
+        """After so long without use the memory goes, so that a Python worker kept for other stages doesn't hold it."""
+        timer = threading.Timer(seconds, self._forget, [self.used])
+        timer.daemon = True
+        timer.start()
+
+    def _forget(self, used: float) -> None:
+        with self.lock:
+            if self.used == used:
+                self.young, self.old = {}, {}
+
     def encode_many(self, texts: list[str], end: int | None) -> list[bytes]:
+        with self.lock:
+            self.used = time.monotonic()
+            return self._encode_many(texts, end)
+
+    def _encode_many(self, texts: list[str], end: int | None) -> list[bytes]:
         texts = [t.lower() if t.isascii() and "<|" not in t else t for t in texts]
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         every = set().union(*cut)
@@ -169,16 +188,17 @@ def encode_frame(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str,
         for b in batches:
             at = 0
             while at < b.num_rows:
-                # about four million characters at a time
+                # about a million characters at a time
                 some, held = [], 0
                 for x in b.column(2)[at:]:
                     some.append(x.as_py() or "")
                     held += len(some[-1])
-                    if held > 1 << 22:
+                    if held > 1 << 20:
                         break
                 part = b.slice(at, len(some))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(enc.encode_many(some, end), pa.binary())], ["id", "tie", "ids"])
                 at += len(some)
+        enc.rest()
 
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), text.alias("text")).mapInArrow(run, "id long, tie long, ids binary")
