@@ -119,8 +119,9 @@ from h
 
 def _oracles() -> dict[str, str]:
     from .chat import rotate_sql
+    from .leaks_sql import LEAKS_SQL
 
-    return {"op5_chat_rotation": rotate_sql(), "op3_quality_lines": QUALITY_SQL, "op4_warc_zip": WARC_SQL}
+    return {"op10_decontaminate": LEAKS_SQL, "op5_chat_rotation": rotate_sql(), "op3_quality_lines": QUALITY_SQL, "op4_warc_zip": WARC_SQL}
 
 
 QUERIES = {

@@ -303,7 +303,7 @@ def test_equals_sql(spark, name):
     if not os.path.isdir(at):
         pytest.skip("no test tables")
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "benchmark"):
         con.sql(f"create view {table} as select * from '{at}/{table}.parquet'")
     out, want = queries.QUERIES[name](spark, at), con.sql(queries.ORACLES[name])
     cols = sorted(out.columns)
