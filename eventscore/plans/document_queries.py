@@ -87,7 +87,7 @@ def user_documents(spark: SparkSession, d: str) -> DataFrame:
     users = e.select("doc_id").distinct()
     e = e.withColumn("us", F.pmod(F.col("us"), F.lit(86_400_000_000)))
     beat = F.floor(F.col("us") / 1e6 * (BPM / 60)).cast("long")
-    when = F.when(F.col("event_id") % 2 == 0, F.concat((F.floor(beat / BEATS) + 1).cast("string"), F.lit(":"), (F.pmod(beat, F.lit(BEATS)) + 1).cast("string"))).otherwise(F.concat(F.lit("@"), F.format_string("%.3f", F.col("us") / 1e6)))
+    when = F.when(F.col("event_id") % 2 == 0, F.concat((F.floor(beat / BEATS) + 1).cast("string"), F.lit(":"), (F.pmod(beat, F.lit(BEATS)) + 1).cast("string"))).otherwise(F.concat(F.lit("@"), F.format_string("%.3f", F.floor(F.col("us") / 1000) / 1000)))
     dur = F.when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 3 == 1, " 0.5b").otherwise(" 0.125s")
     line = F.concat(when, F.lit(" "), (F.floor(F.col("value") * 10)).cast("string"), F.lit("c"), dur, F.lit(" "), (F.col("event_id") % 127 + 1).cast("string"))
     lines = e.select("doc_id", F.lit(1).alias("stream_pos"), F.col("event_id").alias("pos"), line.alias("line"))
@@ -101,15 +101,15 @@ def user_documents(spark: SparkSession, d: str) -> DataFrame:
 
 NOTES_SQL = f"""day as (select *, us % 86400000000 as u from ev),
  b as (select *, cast(floor(u / 1e6 * {BPM / 60}::double) as bigint) as beat from day),
- notes as (select cast(user_id as varchar) as doc_id, event_id, case when event_id % 2 = 0 then beat * {60 / BPM}::double else round(u / 1e6, 3) end as start,
+ notes as (select cast(user_id as varchar) as doc_id, event_id, case when event_id % 2 = 0 then beat * {60 / BPM}::double else floor(u / 1000) / 1000 end as start,
  case when event_id % 3 = 0 then 0.25 when event_id % 3 = 2 then 0.125 when event_id % 2 = 0 then 0.5 * {60 / BPM}::double else 0.25 end as dur, floor(value * 10) as cents, event_id % 127 + 1 as vel from b)"""
 
 
-@query("with {ev}, " + NOTES_SQL + " select doc_id, count(*) as n, round(sum(start), 2) as starts, round(sum(dur), 4) as durs, sum(cents)::double as cents, sum(vel)::bigint as vels from notes group by doc_id")
+@query("with {ev}, " + NOTES_SQL + " select doc_id, count(*) as n, round(sum(start), 3) as starts, round(sum(dur), 4) as durs, sum(cents)::double as cents, sum(vel)::bigint as vels from notes group by doc_id")
 def sc_expand(spark: SparkSession, d: str) -> DataFrame:
     """Events written as documents, parsed, timed and expanded: the notes of every user, summed."""
     notes = expand.expand(sc.parse_documents(user_documents(spark, d)))
-    return notes.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum("start"), 2).alias("starts"), r4(F.sum("dur"), "durs"), F.sum("cents").alias("cents"), F.sum("vel").cast("long").alias("vels"))
+    return notes.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum("start"), 3).alias("starts"), r4(F.sum("dur"), "durs"), F.sum("cents").alias("cents"), F.sum("vel").cast("long").alias("vels"))
 
 
 @query(f"with {{ev}} select cast(user_id as varchar) as doc_id, bar::int as bar, round((bar - 1) * {BEATS * 60 / BPM}::double, 4) as start from (select distinct user_id from ev) cross join (select unnest(range(1, 17)) as bar)")
