@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -296,12 +296,12 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_
     return marked.join(ids, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def keep_one(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_duplicates, **how) -> DataFrame:
     """docs with one row of each group of near-duplicates: the one with the group's smallest id, with all its columns.
 
-    Of several rows with that id one stays. Rows without an id can't be named and all stay.
+    find gives the groups: near_duplicates, or copies.near_copies.     Of several rows with that id one stays. Rows without an id can't be named and all stay.
     """
-    found = near_duplicates(docs, spark, id_col=id_col, text_col=text_col, **how)
+    found = find(docs, spark, id_col=id_col, text_col=text_col, **how)
     chosen = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__es_keep")).distinct()
     chosen = Scratch(spark, "chosen").table(chosen, "ids")
     named = docs.join(chosen, docs[id_col] == chosen["__es_keep"], "left_semi").dropDuplicates([id_col])

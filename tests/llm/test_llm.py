@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from eventscore.llm import chat, decontaminate, langid, mixing, pii, quality, queries, simhash, tokenbin, urlfilter, warczip
+from eventscore.llm import chat, copies, decontaminate, langid, mixing, pii, quality, queries, simhash, tokenbin, urlfilter, warczip
 
 RNG = random.Random(5)
 VOCAB = ["".join(RNG.choice("abcdefghij") for _ in range(RNG.randint(2, 6))) for _ in range(300)]
@@ -309,3 +309,46 @@ def test_equals_sql(spark, name):
     cols = sorted(out.columns)
     assert cols == sorted(want.columns)
     assert sorted(map(str, map(tuple, out.select(*cols).collect()))) == sorted(map(str, want.project(", ".join(f'"{c}"' for c in cols)).fetchall()))
+
+
+def shingle_set(text):
+    w = text.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {" ".join(w)}
+
+
+def test_near_copies_by_similarity(spark):
+    docs = []
+    for g in range(12):
+        w = prose(150, 700 + g).split()
+        docs.append((100 * g, " ".join(w)))
+        for k in range(1, 9):
+            new, r = list(w), random.Random(g * 10 + k)
+            for _ in range(k % 5):
+                new[r.randrange(len(new))] = f"new{r.randrange(1000)}"
+            docs.append((100 * g + k, " ".join(new)))
+    docs += [(5000, ""), (5001, " "), (5002, "a b"), (5003, "A  b"), (0, docs[20][1])]
+    df = spark.createDataFrame([*docs, (5004, None), (None, docs[0][1])], "doc_id long, text string")
+    root = list(range(len(docs)))
+    sets = [shingle_set(t) if t.strip() else set() for _, t in docs]
+    for a in range(len(docs)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or (sets[a] and sets[b] and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both)):
+                old, new = root[a], root[b]
+                root = [new if x == old else x for x in root]
+    least = {x: min(docs[i][0] for i in range(len(docs)) if root[i] == x) for x in root}
+    found = copies.near_copies(df, spark).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == sorted([(i, least[root[k]]) for k, (i, _) in enumerate(docs)] + [(5004, 5000)])
+    by_fingerprints = simhash.near_duplicates(df, spark).collect()
+    assert len({r["component_id"] for r in by_fingerprints}) > len({r["component_id"] for r in found})
+
+
+def test_pipeline_drops_edited_copies(spark):
+    import corpus_pipeline
+
+    w = prose(150, 701).split()
+    edited = [*w[:40], "new1", *w[41:90], "new2", *w[91:]]
+    texts = [" ".join(w), " ".join(edited), prose(150, 702)]
+    assert (int(brute_fingerprint(texts[0])) ^ brute_fingerprint(texts[1])).bit_count() > 4
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [0, 2]
