@@ -352,3 +352,13 @@ def test_pipeline_drops_edited_copies(spark):
     assert (int(brute_fingerprint(texts[0])) ^ brute_fingerprint(texts[1])).bit_count() > 4
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [0, 2]
+
+
+def test_pipeline_cuts_lines_at_every_host_size(spark):
+    import corpus_pipeline
+
+    sizes = {"small": 20, "hot": 600}
+    rows = [(1000 * k + i, prose(60, 3000 + 1000 * k + i) + ("\nRepeated menu line" if i < 12 else ""), h) for k, (h, n) in enumerate(sizes.items()) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = {r["doc_id"] for r in corpus_pipeline.quality(spark, df, "").collect() if "Repeated" in r["text"]}
+    assert left == {0, 1000}
