@@ -362,3 +362,17 @@ def test_pipeline_cuts_lines_at_every_host_size(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     left = {r["doc_id"] for r in corpus_pipeline.quality(spark, df, "").collect() if "Repeated" in r["text"]}
     assert left == {0, 1000}
+
+
+def test_leaks_need_not_agree_everywhere(spark):
+    """Places that changed once, numbers that coincide or part, and a copy behind an inconsistent variant."""
+    one = "the old baker Maria sold loaves for 7 days, then the clerk told Maria that nothing was left in the wide store room and paid Maria in full before noon"
+    two = "a train runs for 120 miles at speed while the guard counts 3 bags and then another 80 boxes before the doors close and the whistle blows again tonight"
+    three = "the shop opened 5 doors and later 5 windows so that the long queue could move along the hall without waiting for the slow porter to come back"
+    items = spark.createDataFrame([(0, one), (1, two), (2, three)], "item_id long, text string")
+    mixed = one.replace("baker Maria", "baker Lena").replace("told Maria", "told Karl").replace("7", "9").replace("paid Maria", "paid Otto")
+    docs = [(1, one.replace("told Maria", "told Karl")), (2, two.replace("120", "90").replace("3 bags", "4 bags").replace("80", "90")), (3, three.replace("5 windows", "8 windows").replace("5 doors", "6 doors")), (4, mixed + ". " + prose(40, 4) + " " + one), (5, mixed), (6, prose(200, 8))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_changed"] for r in decontaminate.contaminated(df, items, spark, strict=False).collect()}
+    assert got == {(1, 0): 1, (2, 1): 3, (3, 2): 2, (4, 0): 0}
+    assert not {(1, 0), (2, 1), (3, 2), (4, 0)} & {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, items, spark).collect()}
