@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,7 +107,11 @@ def contaminated(docs: DataFrame, items: DataFrame, spark: SparkSession, *, id_c
     return agreed.join(near, ["key", "ikey"]).select(F.col("id").alias(id_col), "item_id", "similarity", "n_windows", F.size("p").cast("long").alias("n_slots"), changed.cast("long").alias("n_changed"))
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs that leak no item, with all their columns. Of rows with the same id all go if one leaks; null is an id."""
-    found = Scratch(spark, "leaks").table(contaminated(docs, items, spark, id_col=id_col, **how).select(F.col(id_col).alias("__es_leak")).distinct(), "ids")
+def without_leaks(docs: DataFrame, items: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", names: tuple[str, ...] = (NAMES,), **how) -> DataFrame:
+    """The rows of docs that leak no item, with all their columns. Of rows with the same id all go if one leaks; null is an id.
+
+    With several kinds of names a document leaks if it does by the templates of one of them.
+    """
+    ids = [contaminated(docs, items, spark, id_col=id_col, names=n, **how).select(F.col(id_col).alias("__es_leak")) for n in names]
+    found = Scratch(spark, "leaks").table(reduce(DataFrame.union, ids).distinct(), "ids")
     return docs.join(found, F.col(id_col).eqNullSafe(F.col("__es_leak")), "left_anti")

@@ -376,3 +376,14 @@ def test_leaks_need_not_agree_everywhere(spark):
     got = {(r["doc_id"], r["item_id"]): r["n_changed"] for r in decontaminate.contaminated(df, items, spark, strict=False).collect()}
     assert got == {(1, 0): 1, (2, 1): 3, (3, 2): 2, (4, 0): 0}
     assert not {(1, 0), (2, 1), (3, 2), (4, 0)} & {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, items, spark).collect()}
+
+
+def test_pipeline_finds_names_at_starts(spark, tmp_path):
+    import corpus_pipeline
+
+    tom = "Tom has 3 apples. Tom buys 2 more apples from Anna. How many apples does Tom have now?"
+    natalia = "Natalia sold clips to 48 of her friends in April. Natalia sold half as many clips in May. How many clips did she sell in April and May together?"
+    spark.createDataFrame([(0, tom), (1, natalia)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, tom.replace("Tom", "Lena").replace("3", "5").replace("2", "4").replace("Anna", "Karl")), (2, natalia.replace("Natalia", "Peter").replace("48", "90").replace("April", "June").replace("May", "July")), (3, prose(80, 9))]
+    df = spark.createDataFrame([*docs, (5, "Anna has 3 dogs. They run far from here. How many cats does Tom see now?")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.decontamination(spark, df, str(tmp_path)).collect()) == [3, 5]
