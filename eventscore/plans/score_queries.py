@@ -164,7 +164,7 @@ def jon15_align(spark: SparkSession, d: str) -> DataFrame:
     """Documents that begin with the same three words, each with the one before: matching blocks of whole texts."""
     t = table(spark, d, "documents").withColumn("w", align.tokens(F.col("text")))
     w = Window.partitionBy(F.array_join(F.slice("w", 1, 3), " ")).orderBy("doc_id")
-    p = t.withColumn("prev", F.lag("doc_id").over(w)).withColumn("pw", F.lag("w").over(w)).where("prev is not null and size(w) <= 2000 + size(pw)")
+    p = t.withColumn("prev", F.lag("doc_id").over(w)).withColumn("pw", F.lag("w").over(w)).where("prev is not null")
     return p.select("doc_id", "prev", align.similarity(F.col("pw"), F.col("w")).alias("m")).select("doc_id", "prev", "m.matched", "m.longest", r4(F.col("m.ratio"), "ratio"))
 
 
@@ -179,14 +179,17 @@ def flt6_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def srt7_best_offset(spark: SparkSession, d: str) -> DataFrame:
-    """Each benchmark passage's best place among documents that hold its first four words."""
-    b = table(spark, d, "benchmark").select("item_id", align.tokens(F.col("text")).alias("bw")).where("size(bw) >= 8")
-    b = b.withColumn("k", F.xxhash64(F.slice("bw", 3, 4)))
+    """Each benchmark passage's best place among the documents: places that share any four words in a row with it, all places for passages under eight words."""
+    b = table(spark, d, "benchmark").select("item_id", align.tokens(F.col("text")).alias("bw")).withColumn("m", F.size("bw")).where("m > 0")
     t = table(spark, d, "documents").select("doc_id", align.tokens(F.col("text")).alias("w")).withColumn("n", F.size("w"))
-    at = t.where("n >= 6").select("doc_id", "w", F.explode(F.sequence(F.lit(3), F.col("n") - 3)).alias("off"))
-    hits = at.withColumn("k", F.xxhash64(F.slice("w", F.col("off"), 4))).join(b, "k")
-    part = F.slice("w", F.greatest(F.col("off") - 2, F.lit(1)), F.size("bw"))
-    r = hits.select("item_id", "doc_id", (F.col("off") - 2).cast("long").alias("off"), align.similarity(F.col("bw"), part).alias("m")).select("item_id", "doc_id", "off", F.col("m.ratio").alias("ratio")).where("ratio >= 0.5")
+    windows = lambda w, n: F.posexplode(F.transform(F.sequence(F.lit(1), n - 3), lambda i: F.xxhash64(F.slice(w, i, 4)))).alias("at", "k")
+    seeds = b.where("m >= 8").select("item_id", windows("bw", F.col("m"))).withColumnRenamed("at", "i")
+    places = t.where("n >= 4").select("doc_id", windows("w", F.col("n"))).join(F.broadcast(seeds), "k")
+    seeded = places.select("item_id", "doc_id", F.greatest(F.col("at") - F.col("i") + 1, F.lit(1)).alias("off")).distinct()
+    scan = t.where("n > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("off")).crossJoin(F.broadcast(b.where("m < 8").select("item_id")))
+    hits = seeded.unionByName(scan).join(F.broadcast(b), "item_id").join(t, "doc_id")
+    part = F.slice("w", F.col("off"), F.col("m"))
+    r = hits.select("item_id", "doc_id", F.col("off").cast("long").alias("off"), align.similarity(F.col("bw"), part).alias("m")).select("item_id", "doc_id", "off", F.col("m.ratio").alias("ratio")).where("ratio >= 0.5")
     return series.top_k(r, ["item_id"], [F.desc("ratio"), F.col("doc_id"), F.col("off")], 1).select("item_id", "doc_id", "off", r4(F.col("ratio"), "ratio"))
 
 
