@@ -35,6 +35,14 @@ FOUND = {k: regex.compile(v) for k, v in PATTERNS.items()}
 HINTS = {"email": re.compile("@"), "secret": re.compile("(?i)passw|pwd|token|secret|key"), "person": re.compile(rf"(?:{WOMEN}|{MEN}|{OTHERS})[. \t]")}
 DIGIT = re.compile("[0-9]")
 SHE, HE = regex.compile(f"(?:{WOMEN})$"), regex.compile(f"(?:{MEN})$")
+#: Given names by which a person without a title is known (fixed values), and two capitalised words in a row.
+GIVEN = {x: s for s, names in {
+    "f": "Alice Amanda Amelia Amy Ana Andrea Angela Anna Anne Barbara Carmen Carol Caroline Catherine Charlotte Chloe Christine Claire Claudia Cristina Deborah Diana Dorothy Elena Elisabeth Elizabeth Emily Emma Eva Francesca Gabriele Hannah Heike Helen Helena Ingrid Irina Isabel Isabella Jane Jennifer Jessica Joan Julia Julie Karen Katharina Katherine Kathleen Laura Lena Linda Lisa Lucia Lucy Luisa Margaret Maria Marie Marta Martha Martina Mary Megan Melissa Michelle Monica Monika Nancy Natalia Nicole Nina Olga Olivia Pamela Patricia Petra Rachel Rebecca Renate Rosa Ruth Sabine Sandra Sara Sarah Sharon Silvia Sofia Sophia Sophie Stephanie Susan Susanne Teresa Ursula Valerie Vanessa Victoria Анна Елена Ирина Мария Наталья Ольга Татьяна",
+    "m": "Adam Alan Albert Alejandro Alexander Andreas Andrew Anthony Antoine Antonio Arthur Benjamin Bernd Brian Carlos Charles Christian Christopher Claude Daniel David Dennis Diego Dieter Dmitri Donald Edward Enrique Eric Fernando Francis Francisco Frank Friedrich Gary George Georg Gerhard Gregory Guillaume Hans Harry Heinrich Henri Henry Ivan Jack Jacob Jacques James Jason Javier Jean Jeffrey Johann John Jonathan Jorge Jose Joseph Joshua José Juan Jürgen Karl Kevin Klaus Larry Lars Louis Luis Lukas Manuel Mark Martin Matthew Michael Michel Miguel Nicholas Nicolas Oliver Oscar Otto Pablo Patrick Paul Pedro Peter Philip Philippe Pierre Rafael Raymond Richard Robert Roger Ronald Ryan Samuel Scott Sebastian Sergio Stefan Stephen Steven Thomas Timothy Tobias Tom Ulrich Victor Walter Werner William Wolfgang Александр Андрей Дмитрий Иван Михаил Сергей",
+    "n": "Alex Chris Jordan Kim Robin Sam Taylor",
+}.items() for x in names.split()}
+PAIR = regex.compile(r"(?<!\w)(?P<a>\p{Lu}\p{Ll}+)[ \t](?=(?P<b>\p{Lu}\p{Ll}+)(?!\w))")
+WORD = regex.compile(r"(?<!\w)\p{Lu}\p{Ll}+(?!\w)")
 #: Syllables of invented names, by script, and the endings of women's, men's and family names.
 NAMES = {
     "Latin": (["ba", "ca", "da", "el", "fa", "ga", "ha", "in", "jo", "ka", "la", "mi", "na", "or", "pe", "ra", "sa", "ti", "ul", "ve"], {"f": ["na", "ra", "la", "ia"], "m": ["on", "rt", "ck", "us"], "n": ["le", "ry", "is", "el"], "s": ["son", "ner", "man", "berg"]}),
@@ -58,7 +66,11 @@ def script(word: str) -> str:
 
 
 def detect(text: str) -> list[Entity]:
-    """The mentions in a text in their order, without overlaps; of two that overlap the kind that stands first in PATTERNS."""
+    """The mentions in a text in their order, without overlaps; of two that overlap the kind that stands first in PATTERNS.
+
+    A person is found behind a title or by a known given name before a capitalised word; every further mention of one of
+    the found names, as a whole word written the same, is the same entity.
+    """
     out: list[Entity] = []
     digits = DIGIT.search(text) is not None
     for kind, pattern in FOUND.items():
@@ -80,6 +92,16 @@ def detect(text: str) -> list[Entity]:
             else:
                 new = [Entity(*m.span(), kind, "".join(c for c in m[0] if c.isalnum()))]
             out += [e for e in new if not any(e.start < x.end and x.start < e.end for x in out)]
+    free = lambda start, end: not any(start < x.end and x.start < end for x in out)
+    for m in PAIR.finditer(text):
+        if (sex := GIVEN.get(m["a"])) and free(m.start("a"), m.end("b")):
+            out += [Entity(*m.span("a"), f"given_{sex}", m["a"].casefold()), Entity(*m.span("b"), "family", m["b"].casefold())]
+    names: dict[str, Entity] = {}
+    for e in sorted(out):
+        if e.kind == "family" or e.kind.startswith("given"):
+            names.setdefault(text[e.start : e.end], e)
+    if names:
+        out += [Entity(*m.span(), e.kind, e.core) for m in WORD.finditer(text) if (e := names.get(m[0])) and free(*m.span())]
     return sorted(out)
 
 

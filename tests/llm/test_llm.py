@@ -387,3 +387,13 @@ def test_pipeline_finds_names_at_starts(spark, tmp_path):
     docs = [(1, tom.replace("Tom", "Lena").replace("3", "5").replace("2", "4").replace("Anna", "Karl")), (2, natalia.replace("Natalia", "Peter").replace("48", "90").replace("April", "June").replace("May", "July")), (3, prose(80, 9))]
     df = spark.createDataFrame([*docs, (5, "Anna has 3 dogs. They run far from here. How many cats does Tom see now?")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.decontamination(spark, df, str(tmp_path)).collect()) == [3, 5]
+
+
+def test_later_mentions_and_untitled_persons(spark):
+    texts = ["Mrs. Anna Smith called. Smith left, Anna stayed.", "Then Peter Kowalski came; Kowalski spoke and Peter wrote to Smithson.", "The Old Town of New York has no person."]
+    got = {r["doc_id"]: r for r in pii.protect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark, b"k").collect()}
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+) called\. (\w+) left, (\w+) stayed\.", got[0]["text"])
+    assert m[1] == m[4] != "Anna" and m[2] == m[3] != "Smith" and got[0]["n_entities"] == 4
+    m = re.fullmatch(r"Then (\w+) (\w+) came; (\w+) spoke and (\w+) wrote to Smithson\.", got[1]["text"])
+    assert m[1] == m[4] != "Peter" and m[2] == m[3] != "Kowalski"
+    assert got[2]["text"] == texts[2]
