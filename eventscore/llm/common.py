@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,24 +18,41 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) an own one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local master gets an own one
+    (tests); on a cluster executors could not see it, so that raises."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = root.get() if root.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='eventscore-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
-class Scratch:
-    """A folder for one run of an operator, below the shared one; it goes when the session ends, or by release()."""
+#: The lists of gathering() that are open in this context.
+_open: ContextVar[tuple[list[Scratch], ...]] = ContextVar("open", default=())
 
+
+@contextmanager
+def gathering() -> Iterator[list[Scratch]]:
+    """The scratch folders that are made inside, in this thread or task alone."""
     made: list[Scratch] = []
+    token = _open.set((*_open.get(), made))
+    try:
+        yield made
+    finally:
+        _open.reset(token)
+
+
+class Scratch:
+    """A folder for one run of an operator, below the shared one; it goes when the session ends, or by release()."""
 
     def __init__(self, spark: SparkSession, name: str):
-        Scratch.made.append(self)
+        for made in _open.get():
+            made.append(self)
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         jvm = spark.sparkContext._jvm
@@ -49,7 +69,6 @@ class Scratch:
     def release(self) -> None:
         """Deletes the folder; what was lazily derived from its tables can't be read afterwards."""
         self._fs.delete(self._at, True)
-        Scratch.made.remove(self)
 
     def drop(self, *names: str) -> None:
         for name in names:
@@ -77,19 +96,20 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(t, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
 
 
-def connected(edges: DataFrame, scratch: Scratch, *, most: int = 60) -> DataFrame:
+def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of edges (a, b) of longs: (v, root), root the smallest vertex reachable.
 
     Alternating large-star and small-star steps. Every step is joins and partial aggregates by vertex; a hub of any
     size is only one side of a join that Spark can split. Each round is written to the shared folder.
-    Vertices without edges don't appear; loops and repeated edges don't matter.
+    Vertices without edges don't appear; loops and repeated edges don't matter. The rounds end when nothing changes,
+    after about the logarithm of the longest path, squared at worst.
     """
     now = scratch.table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "cc0")
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     was = mark(now)
-    for i in range(1, most):
-        if not was[0]:
-            break
+    i = 0
+    while was[0]:
+        i += 1
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -103,6 +123,4 @@ def connected(edges: DataFrame, scratch: Scratch, *, most: int = 60) -> DataFram
         if is_ == was:
             break
         was = is_
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
     return now.select(F.col("a").alias("v"), F.col("b").alias("root"))

@@ -44,51 +44,57 @@ def normal_line(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(x), "[^\\p{L}]+", " "))
 
 
-def shared_lines(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 10, max_share: float = 0.05, depleted_share: float = 0.5) -> DataFrame:
-    """Per document with lines to remove: (id, lines: their hashes, depleted).
+def _keys(host: Column, text: Column) -> list[Column]:
+    """128 bits that stand for a host and a text."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(host, t).alias("k1"), F.xxhash64(F.lit("2"), t, host).alias("k2")]
+
+
+def shared_lines(docs: DataFrame, spark: SparkSession, *, text_col: str = "text", host_col: str = "source", min_docs: int = 10, depleted_share: float = 0.5) -> DataFrame:
+    """Per different document of a host with lines to remove: (k1, k2: its keys, n, lines: their hashes, depleted).
 
-    A document's different normalised lines are hashed with its host and counted, with partial sums, over all
-    documents. A line of more than max(min_docs, max_share of the host's documents) documents is removed from all but
-    the one with the smallest id, so nothing that stands in many copies is lost. A document is depleted if the removed
-    lines hold more than depleted_share of the letters of its different lines.
+    A document's different normalised lines are hashed with its host and counted, with partial sums, over all different
+    documents of the host: rows with the same host and text are one document, so a text is never cut for having copies.
+    A line of more than min_docs documents, at hosts of every size, is removed from all of them. A document is depleted
+    if the removed lines hold more than depleted_share of the letters of its different lines.
 
-    Every row is a document, repeated rows too; a null host is a host of its own, a null text has no lines. Rows with
-    the same id (null as well) share one result: their removed lines together, depleted if one of them is.
+    Ids play no part. A null host is a host of its own, a null text has no lines. The limits reach the documents by a
+    join that Spark broadcasts only below its threshold of the written table's size, and else sorts on both sides.
     """
     scratch = Scratch(spark, "quality")
-    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(host_col)).alias("host"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    src = docs.select(F.col(host_col).alias("host"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     whole = F.split(F.regexp_replace(F.lower("text"), "[^\\p{L}\\n]+", " "), "\n", -1)
     lines = F.array_distinct(F.filter(F.transform(whole, lambda x: F.trim(x)), lambda x: x != ""))
     hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("size")))
-    docs_lines = scratch.table(src.select(F.monotonically_increasing_id().alias("row"), "id", "host", hashed.alias("lines")), "lines")
+    docs_lines = scratch.table(src.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("host").alias("host"), *_keys(F.col("host"), F.col("text")), hashed.alias("lines")), "lines")
+    twins = docs_lines.groupBy("k1", "k2").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("k1", "k2", "first")
+    again = scratch.table(docs_lines.select("row", "k1", "k2").join(scratch.table(twins, "twins"), ["k1", "k2"]).where("row <> first").select("row"), "again")
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["size"])
-    each = docs_lines.select("row", "id", "host", total.alias("total"), F.explode("lines").alias("x")).select("row", "id", "host", "total", "x.h", "x.size")
-    hosts = scratch.table(docs_lines.groupBy("host").agg(F.count("*").alias("docs")), "hosts")
-    often = scratch.table(each.select("host", "h").groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_docs), "often")
-    often = scratch.table(often.join(hosts, "host").where(F.col("n") > max_share * F.col("docs")).select("host", "h"), "limits")
-    hits = scratch.table(each.join(often, ["host", "h"]), "hits")
-    first = scratch.table(hits.groupBy("host", "h").agg(F.min("id").alias("first")), "first")
-    gone = hits.join(first, ["host", "h"]).where(~F.col("id").eqNullSafe(F.col("first")))
-    by_row = gone.groupBy("row", "id").agg(F.sum("size").alias("size"), F.max("total").alias("total"), F.collect_set("h").alias("lines"))
-    return scratch.table(by_row.groupBy("id").agg(F.flatten(F.collect_list("lines")).alias("lines"), F.max(F.col("size") > depleted_share * F.col("total")).alias("depleted")), "result")
+    each = docs_lines.join(again, "row", "left_anti").select("host", "k1", "k2", total.alias("total"), F.explode("lines").alias("x")).select("host", "k1", "k2", "total", "x.h", "x.size")
+    often = scratch.table(each.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_docs).select("host", "h"), "often")
+    gone = each.join(often, ["host", "h"])
+    cut = gone.groupBy("k1", "k2").agg(F.sum("size").alias("size"), F.max("total").alias("total"), F.collect_set("h").alias("lines"))
+    return scratch.table(cut.select("k1", "k2", F.size("lines").cast("long").alias("n"), "lines", (F.col("size") > depleted_share * F.col("total")).alias("depleted")), "result")
 
 
 def judge(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """Per row: id, the five base counts, base_failed, n_removed_lines, depleted, kept."""
-    found = shared_lines(docs, spark, id_col=id_col, text_col=text_col, host_col=host_col, **limits).withColumnRenamed("id", "_id")
-    base = docs.select(F.col(id_col).alias("id"), base_counts(F.col(text_col)).alias("c"))
+    """Per row: id, the five base counts, base_failed, n_removed_lines, depleted, kept. Rows of equal id are judged each by its text."""
+    found = shared_lines(docs, spark, text_col=text_col, host_col=host_col, **limits).select("k1", "k2", "n", "depleted")
+    base = docs.select(F.col(id_col).alias("id"), *_keys(F.col(host_col), F.col(text_col)), base_counts(F.col(text_col)).alias("c"))
     failed = base_failed(F.col("c"))
     depleted = F.coalesce("depleted", F.lit(False))
-    return base.join(found, F.col("id").eqNullSafe(F.col("_id")), "left").select(
-        F.col("id").alias(id_col), "c.*", failed.alias("base_failed"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed_lines"), depleted.alias("depleted"), (~failed & ~depleted).alias("kept")
+    return base.join(found, ["k1", "k2"], "left").select(
+        F.col("id").alias(id_col), "c.*", failed.alias("base_failed"), F.coalesce("n", F.lit(0)).cast("long").alias("n_removed_lines"), depleted.alias("depleted"), (~failed & ~depleted).alias("kept")
     )
 
 
-def clean(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars", **limits) -> DataFrame:
+def clean(docs: DataFrame, spark: SparkSession, *, text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars", **limits) -> DataFrame:
     """The kept rows with all their columns; lines above the limits are cut from their texts, and chars_col follows."""
-    found = shared_lines(docs, spark, id_col=id_col, text_col=text_col, host_col=host_col, **limits).select(F.col("id").alias("__es_id"), F.col("lines").alias("__es_lines"), "depleted").withColumnRenamed("depleted", "__es_depleted")
+    found = shared_lines(docs, spark, text_col=text_col, host_col=host_col, **limits)
+    found = found.select(F.col("k1").alias("__es_k1"), F.col("k2").alias("__es_k2"), F.when(~F.col("depleted"), F.col("lines")).alias("__es_lines"), F.col("depleted").alias("__es_depleted"))
     base = docs.where(~base_failed(base_counts(F.col(text_col))))
-    both = base.join(found, F.col(id_col).eqNullSafe(F.col("__es_id")), "left").where(~F.coalesce("__es_depleted", F.lit(False)))
+    k1, k2 = _keys(F.col(host_col), F.col(text_col))
+    both = base.join(found, (k1 == F.col("__es_k1")) & (k2 == F.col("__es_k2")), "left").where(~F.coalesce("__es_depleted", F.lit(False)))
     rest = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x: ~F.array_contains("__es_lines", F.xxhash64(normal_line(x)))), "\n")
     text = F.when(F.size("__es_lines") > 0, rest).otherwise(F.col(text_col))
     out = both.withColumn("__es_text", text)

@@ -94,11 +94,9 @@ base as (select w.doc_id, source, len(w)::bigint as n_words, length(array_to_str
       from w left join rep on rep.doc_id = w.doc_id),
 split as (select doc_id, source, trim(unnest(string_split(regexp_replace(lower(t), '[^\p{L}\n]+', ' ', 'g'), chr(10)))) as x from d),
 line as (select distinct doc_id, source, x from split where x <> ''),
-host as (select source, count(*) as docs from d group by source),
-often as (select line.source, x, min(doc_id) as first_id from line join host on line.source is not distinct from host.source
-      group by line.source, x having count(*) > 10 and count(*) > 0.05::double * max(docs)),
+often as (select source, x from (select distinct split.source, d.t, x from split join d on d.doc_id = split.doc_id where x <> '') group by source, x having count(*) > 10),
 gone as (select doc_id, count(*)::bigint as n, sum(length(line.x)) as size from line join often on line.source is not distinct from often.source and line.x = often.x
-      where doc_id <> first_id group by doc_id),
+      group by doc_id),
 total as (select doc_id, sum(length(x)) as size from line group by doc_id),
 told as (select base.*, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, coalesce(gone.n, 0)::bigint as n_removed_lines,
       coalesce(gone.size > 0.5::double * total.size, false) as depleted

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -191,15 +192,15 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def linked(batches: Iterator[pa.RecordBatch], radius: int, pack: int) -> Iterator[pa.RecordBatch]:
-    """Rows (t, k, i, j, fp, rep), sorted by the first four: the links that join each block's components.
+    """Rows (t, k, i, j, fp), sorted by the first four: the links that join each block's components.
 
     Whole blocks are packed together up to about pack rows and compared at once; links found across blocks are true as well.
     """
     held: list[np.ndarray] = []
 
     def edges(rows: np.ndarray) -> pa.RecordBatch | None:
-        fp, rep = rows[4].astype("i8").view("u8"), rows[5]
-        i, j = close_pairs(fp, radius)
+        rep = rows[4].astype("i8")
+        i, j = close_pairs(rep.view("u8"), radius)
         if not len(i):
             return None
         order = np.argsort(rep, kind="stable")
@@ -251,58 +252,77 @@ def signed(x: int) -> int:
 
 
 def fingerprint_frame(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int) -> DataFrame:
-    """(id, fp): every row's fingerprint as a long."""
+    """(id, own, fp): every row's id, hash of its text and fingerprint, as longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = fingerprints(b.column(1).cast(pa.large_binary()).to_pylist(), width, seed)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view("i8"))], ["id", "fp"])
+            fp = fingerprints(b.column(2).cast(pa.large_binary()).to_pylist(), width, seed)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view("i8"))], ["id", "own", "fp"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "id long, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("own"), text.alias("text")).mapInArrow(run, "id long, own long, fp long")
 
 
-def near_duplicates(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, seed: int = 42, block: int = 1024, mean_block: int = 4096) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (the smallest id reachable over links) of every row.
-
-    Texts with one fingerprint are one vertex. Two fingerprints within the radius agree on some pieces of their bits;
-    rows meet in blocks by those bits, with as many pieces as keep a mean block under mean_block. Blocks over `block`
-    rows are split and their parts meet pairwise, so no task ever holds an unbounded group, and no row is dropped.
-
-    Null or wordless text: fingerprint zero, linked like any other. Null id: the row keeps its fingerprint, its
-    component_id is that of the rows with the same fingerprint (null if none has an id). Rows with equal ids are
-    judged each by its text. An empty table gives an empty result. Other columns are not read.
-    """
+def classes(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, seed: int = 42, block: int = 1024, mean_block: int = 4096) -> DataFrame:
+    """(id, own, fp, group) of every row, null ids too: group is the smallest fingerprint reachable over links."""
     if not 0 <= radius < 8:
         raise ValueError("radius must be from 0 to 7")
     scratch = Scratch(spark, "simhash")
     marked = scratch.table(fingerprint_frame(docs, id_col, text_col, width, seed), "marked")
-    fps = scratch.table(marked.groupBy("fp").agg(F.min("id").alias("rep")).where("rep is not null"), "fps")
+    fps = scratch.table(marked.select("fp").distinct(), "fps")
     total, pieces = fps.count(), radius + 1
     while total / 2 ** (64 * (pieces - radius) // pieces) > mean_block:
         pieces += 1
-    keyed = fps.select("fp", "rep", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for t, m in enumerate(masks(pieces, radius))))).alias("e")).select("e.t", "e.k", "fp", "rep")
+    keyed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for t, m in enumerate(masks(pieces, radius))))).alias("e")).select("e.t", "e.k", "fp")
     hot = scratch.table(keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > block).select("t", "k", F.ceil(F.col("n") / block).cast("int").alias("s")), "hot")
     part = F.pmod(F.xxhash64("fp"), F.col("s")).cast("int")
     meets = F.when(F.col("s").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.coalesce("s", F.lit(1)) - 1), lambda x: F.struct(F.least(x, part).alias("i"), F.greatest(x, part).alias("j")))
     )
-    dealt = keyed.join(hot, ["t", "k"], "left").select("t", "k", F.explode(meets).alias("m"), "fp", "rep").select("t", "k", "m.i", "m.j", "fp", "rep")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = keyed.join(hot, ["t", "k"], "left").select("t", "k", F.explode(meets).alias("m"), "fp").select("t", "k", "m.i", "m.j", "fp")
+    # so many blocks' rows a task; small inputs keep the session's number
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * math.comb(pieces, radius) / 2_000_000))
     dealt = dealt.repartition(parts, "t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j")
     edges = dealt.mapInArrow(lambda b: linked(b, radius, block), "a long, b long")
-    roots = connected(edges, scratch)
-    ids = scratch.table(fps.join(roots, fps["rep"] == roots["v"], "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "ids")
-    return marked.join(ids, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    roots = scratch.table(connected(edges, scratch), "roots")
+    return marked.join(roots, marked["fp"] == roots["v"], "left").select("id", "own", "fp", F.coalesce("root", "fp").alias("group"))
+
+
+def near_duplicates(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", **how) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (the smallest id reachable over links) of every row.
+
+    Texts with one fingerprint are one vertex. Two fingerprints within the radius agree on some pieces of their bits;
+    rows meet in blocks by those bits, with as many pieces as keep a mean block under mean_block. Blocks over `block`
+    rows are split and their parts meet pairwise, so no task ever holds an unbounded group, and no row is dropped.
+
+    Null or wordless text: fingerprint zero, linked like any other. Null id: the row keeps its fingerprint and links as
+    any other; its component_id is the smallest id of its component (null if none has an id). Rows with equal ids are
+    judged each by its text. An empty table gives an empty result. Other columns are not read.
+    """
+    found = Scratch(spark, "found").table(classes(docs, spark, id_col=id_col, **how), "classes")
+    least = found.groupBy("group").agg(F.min("id").alias("component_id"))
+    return found.join(least, "group").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_duplicates, **how) -> DataFrame:
-    """docs with one row of each group of near-duplicates: the one with the group's smallest id, with all its columns.
+def keep_one(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = classes, **how) -> DataFrame:
+    """docs with one row of each group of near-duplicates, with all its columns: the one with the smallest id (null ids
+    last), of equal ids the one with the smallest hash of its text.
 
-    find gives the groups: near_duplicates, or copies.near_copies.     Of several rows with that id one stays. Rows without an id can't be named and all stay.
+    find gives the groups as rows (id, own, group): classes, or copies.classes. Rows equal in id and text are one
+    document, of which one stays. The rows that go are taken out by a join on id and text hash, which moves texts only
+    if those rows are too many to broadcast by their table's size; only documents that stand there twice are dealt out.
     """
-    found = find(docs, spark, id_col=id_col, text_col=text_col, **how)
-    chosen = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__es_keep")).distinct()
-    chosen = Scratch(spark, "chosen").table(chosen, "ids")
-    named = docs.join(chosen, docs[id_col] == chosen["__es_keep"], "left_semi").dropDuplicates([id_col])
-    return named.union(docs.where(F.col(id_col).isNull()))
+    scratch = Scratch(spark, "chosen")
+    seen = scratch.table(find(docs, spark, id_col=id_col, text_col=text_col, **how).groupBy("group", "id", "own").agg(F.count("*").alias("n")), "seen")
+    best = seen.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "own")).alias("best"))
+    same = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("own") == F.col("best.own"))
+    key = [F.col("id").alias("__es_id"), F.col("own").alias("__es_of")]
+    told = scratch.table(seen.join(best, "group").select(*key, "n", same.alias("stays")), "told")
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.select(*cols, F.xxhash64(F.col(text_col).cast("string")).alias("__es_own"))
+    met = F.col(id_col).cast("long").eqNullSafe(F.col("__es_id")) & (F.col("__es_own") == F.col("__es_of"))
+    left = named.join(scratch.table(told.where("not stays").select("__es_id", "__es_of"), "goes"), met, "left_anti")
+    twice = scratch.table(told.where("stays and n > 1").select("__es_id", "__es_of"), "twice")
+    if twice.isEmpty():
+        return left.select(*cols)
+    return left.join(twice, met, "left_anti").union(left.join(twice, met, "left_semi").dropDuplicates([id_col, "__es_own"])).select(*cols)
