@@ -46,36 +46,34 @@ def slots(text: Column, t: Column, names: str = NAMES) -> Column:
     return F.concat(typed(NAME, named), typed(NUMBER, numbers))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, similarity: float = 0.8, broadcast_rows: int = 4_000_000, names: str = NAMES, strict: bool = True) -> DataFrame:
-    """The leaks: (id, item_id, similarity, n_windows, n_slots, n_changed), one row a document and benchmark item.
+def whole_hash(t: Column, width: int) -> Column:
+    """The hash of all the words of a template of 2 to width - 1 words, as window_hashes makes it; else null."""
+    out = F.lit(None).cast("long")
+    for m in range(2, width):
+        out = F.when(F.size(t) == m, F.xxhash64(*(F.get(t, k) for k in range(m)))).otherwise(out)
+    return out
 
-    Documents and items become templates; a document leaks an item if it has at least `similarity` of the item's
-    different windows of `width` template words, found by a hash join, and if the typed places agree along the best
-    alignment: equal values of the item stand for equal values of the document, and different ones for different ones.
-    So a question with other numbers and names is caught, a text that only shares its shape isn't. n_changed counts
-    places with another value. Without strict, every alignment that has the share of the windows is judged beside the
-    best one, and it is enough that the item's names agree (one value in the document for each) or that at least half of
-    the places are unchanged: new numbers may coincide. names says what is a name. Windows with fewer than two plain words identify nothing and aren't searched.
 
-    Null texts and texts of fewer than width words leak nothing and are leaked by nothing. Rows of docs with equal id and
-    text count once, as do items with equal id and text; rows without id are kept apart by their texts, with a null id.
-    The items' windows are broadcast only up to broadcast_rows (16 bytes each); beyond that the join is shuffled.
-    """
+def leaks(docs: DataFrame, items: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, similarity: float = 0.8, broadcast_rows: int = 4_000_000, names: str = NAMES, strict: bool = True) -> DataFrame:
+    """(key, id, item_id, similarity, n_windows, n_slots, n_changed); key is a hash of a document's id and text. See contaminated."""
     scratch = Scratch(spark, "decontaminate")
     asked = items.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("item_text")).distinct()
     asked = asked.withColumn("t", template(F.col("item_text"), names)).withColumn("ikey", F.xxhash64("item_id", "item_text"))
     asked = scratch.table(asked, "items")
-    plain = lambda i: F.size(F.filter(F.slice("t", i + 1, width), lambda w: ~w.startswith("\x01")))
-    grams = asked.select("ikey", "t", F.posexplode(window_hashes(F.col("t"), width)).alias("ipos", "h")).where(plain(F.col("ipos")) >= 2).select("ikey", "ipos", "h")
-    grams = scratch.table(grams, "grams")
+    words_in = lambda a: F.size(F.filter(a, lambda w: ~w.startswith("\x01")))
+    grams = asked.select("ikey", "t", F.posexplode(window_hashes(F.col("t"), width)).alias("ipos", "h")).where(words_in(F.slice("t", F.col("ipos") + 1, width)) >= 2).select("ikey", "ipos", "h")
+    short = asked.select("ikey", F.lit(0).alias("ipos"), whole_hash(F.col("t"), width).alias("h"), F.size("t").alias("m")).where(F.col("h").isNotNull() & (words_in(F.col("t")) >= 2))
+    lengths = sorted(r["m"] for r in short.select("m").distinct().collect())
+    grams = scratch.table(grams.union(short.drop("m")), "grams")
     wanted = scratch.table(grams.select("ikey", "h").distinct(), "wanted")
     of_item = scratch.table(wanted.groupBy("ikey").agg(F.count("*").alias("n_windows")), "of_item")
     small = wanted.count() <= broadcast_rows
     fit = F.broadcast if small else (lambda df: df)
+    every = lambda t: F.concat(window_hashes(t, width), *(window_hashes(t, m) for m in lengths))
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     key = F.xxhash64("id", "text").alias("key")
-    have = src.select(key, let(template(F.col("text"), names), lambda t: F.array_distinct(window_hashes(t, width))).alias("hs")).select("key", F.explode("hs").alias("h"))
+    have = src.select(key, let(template(F.col("text"), names), lambda t: F.array_distinct(every(t))).alias("hs")).select("key", F.explode("hs").alias("h"))
     met = have.join(fit(wanted), "h").groupBy("key", "ikey", "h").agg(F.lit(1).alias("one")) if not small else have.join(fit(wanted), "h").distinct()
     near = met.groupBy("key", "ikey").agg(F.count("*").alias("n")).join(of_item, "ikey").where(F.col("n") >= similarity * F.col("n_windows"))
     near = scratch.table(near.select("key", "ikey", "n_windows", (F.col("n") / F.col("n_windows")).alias("similarity")), "near")
@@ -84,19 +82,25 @@ def contaminated(docs: DataFrame, items: DataFrame, spark: SparkSession, *, id_c
     leaky = scratch.table(leaky.withColumn("t", template(F.col("text"), names)).select("id", "key", "t", slots(F.col("text"), F.col("t"), names).alias("s")), "leaky")
 
     at = leaky.select("key", F.posexplode(window_hashes(F.col("t"), width)).alias("pos", "h"))
+    for m in lengths:
+        at = at.union(leaky.select("key", F.posexplode(window_hashes(F.col("t"), m)).alias("pos", "h")))
     lined = near.select("key", "ikey").join(at, "key").join(grams, ["ikey", "h"]).select("key", "ikey", "ipos", "h", (F.col("pos") - F.col("ipos")).alias("shift"))
     best = lined.groupBy("key", "ikey", "shift").agg(F.count("*").alias("n")).groupBy("key", "ikey").agg(F.max(F.struct("n", -F.col("shift"))).alias("b")).select("key", "ikey", (-F.col("b.col2")).alias("shift"))
     if not strict:
         whole = lined.groupBy("key", "ikey", "shift").agg(F.count_distinct("h").alias("n")).join(near, ["key", "ikey"]).where(F.col("n") >= similarity * F.col("n_windows"))
         best = best.union(whole.select("key", "ikey", "shift")).distinct()
-    sides = best.join(leaky.select("key", "id", "s"), "key").join(asked.select("ikey", "item_id", slots(F.col("item_text"), F.col("t"), names).alias("is")), "ikey")
-    pairs = F.filter(
-        F.flatten(F.transform("is", lambda a: F.transform(F.filter("s", lambda b: (b["pos"] == a["pos"] + F.col("shift")) & (b["kind"] == a["kind"])), lambda b: F.struct(a["kind"].alias("kind"), a["value"].alias("a"), b["value"].alias("b"))))),
+    told_items = asked.select("ikey", "item_id", F.size("t").alias("size"), slots(F.col("item_text"), F.col("t"), names).alias("is"))
+    sides = best.join(leaky.select("key", "id", "s"), "key").join(told_items, "ikey")
+    # the places of the stretch that the item covers, so that what is paired is bounded by the item
+    own = F.filter("s", lambda b: (b["pos"] >= F.col("shift")) & (b["pos"] < F.col("shift") + F.col("size")))
+    pairs = let(own, lambda here: F.filter(
+        F.flatten(F.transform("is", lambda a: F.transform(F.filter(here, lambda b: (b["pos"] == a["pos"] + F.col("shift")) & (b["kind"] == a["kind"])), lambda b: F.struct(a["kind"].alias("kind"), a["value"].alias("a"), b["value"].alias("b"))))),
         lambda p: p["a"].isNotNull() & p["b"].isNotNull(),
-    )
-    told = sides.select("key", "ikey", "shift", "id", "item_id", pairs.alias("p"))
+    ))
+    told = sides.select("key", "ikey", "shift", "id", "item_id", "size", pairs.alias("p"))
     kinds = lambda *cols, p=F.col("p"): F.size(F.array_distinct(F.transform(p, lambda x: F.struct(x["kind"], *(x[n] for n in cols)))))
     changed = F.size(F.filter("p", lambda x: x["a"] != x["b"]))
+    told = told.where((F.col("size") >= width) | (changed == 0))
     if strict:
         agreed = told.where((kinds("a") == kinds("a", "b")) & (kinds("b") == kinds("a", "b")))
     else:
@@ -104,14 +108,35 @@ def contaminated(docs: DataFrame, items: DataFrame, spark: SparkSession, *, id_c
         agreed = told.where((kinds("a", p=of_names) == kinds("a", "b", p=of_names)) | (2 * changed <= F.size("p")))
         first = F.min(F.struct(changed.alias("changed"), "shift", "id", "item_id", "p")).alias("x")
         agreed = agreed.groupBy("key", "ikey").agg(first).select("key", "ikey", "x.id", "x.item_id", "x.p")
-    return agreed.join(near, ["key", "ikey"]).select(F.col("id").alias(id_col), "item_id", "similarity", "n_windows", F.size("p").cast("long").alias("n_slots"), changed.cast("long").alias("n_changed"))
+    return agreed.join(near, ["key", "ikey"]).select("key", "id", "item_id", "similarity", "n_windows", F.size("p").cast("long").alias("n_slots"), changed.cast("long").alias("n_changed"))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", **how) -> DataFrame:
+    """The leaks: (id, item_id, similarity, n_windows, n_slots, n_changed), one row a document and benchmark item.
+
+    Documents and items become templates; a document leaks an item if it has at least `similarity` of the item's
+    different windows of `width` template words, found by a hash join, and if the typed places agree along the best
+    alignment: equal values of the item stand for equal values of the document, and different ones for different ones.
+    So a question with other numbers and names is caught, a text that only shares its shape isn't. n_changed counts
+    places with another value. Without strict, every alignment that has the share of the windows is judged beside the
+    best one, and it is enough that the item's names agree (one value in the document for each) or that at least half of
+    the places are unchanged: new numbers may coincide. names says what is a name. Windows with fewer than two plain
+    words identify nothing and aren't searched. An item of fewer than width template words, two of them plain, is leaked
+    by a document that has all its words in a row with nothing changed: so short a template alone says too little.
+
+    Null texts, and texts shorter than an item's windows, leak nothing. Rows of docs with equal id and
+    text count once, as do items with equal id and text; rows without id are kept apart by their texts, with a null id.
+    The items' windows are broadcast only up to broadcast_rows (16 bytes each); beyond that the join is shuffled.
+    """
+    return leaks(docs, items, spark, id_col=id_col, **how).drop("key").withColumnRenamed("id", id_col)
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", names: tuple[str, ...] = (NAMES,), **how) -> DataFrame:
-    """The rows of docs that leak no item, with all their columns. Of rows with the same id all go if one leaks; null is an id.
+def without_leaks(docs: DataFrame, items: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, ...] = (NAMES,), **how) -> DataFrame:
+    """The rows of docs that leak no item, with all their columns. Every row is judged by its own text, whatever its id.
 
     With several kinds of names a document leaks if it does by the templates of one of them.
     """
-    ids = [contaminated(docs, items, spark, id_col=id_col, names=n, **how).select(F.col(id_col).alias("__es_leak")) for n in names]
-    found = Scratch(spark, "leaks").table(reduce(DataFrame.union, ids).distinct(), "ids")
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__es_leak")), "left_anti")
+    found = [leaks(docs, items, spark, id_col=id_col, text_col=text_col, names=n, **how).select(F.col("id").alias("__es_leak"), F.col("key").alias("__es_of")) for n in names]
+    found = Scratch(spark, "leaks").table(reduce(DataFrame.union, found).distinct(), "ids")
+    own = F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__es_leak")) & (own == F.col("__es_of")), "left_anti")

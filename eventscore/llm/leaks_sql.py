@@ -13,8 +13,9 @@ named as (select side, key, id, text, list_filter(nm, lambda x: x is not null) a
 canon as (select side, key, id, names, regexp_extract_all(text, '{NUMBERS}') as numbers,
   regexp_replace(lower(regexp_replace(u, '{NUMBERS}', ' ' || chr(1) || 'd ', 'g')), chr(1) || 'd ?[\s\x0B]?(?:{UNITS})([^\p{{L}}\p{{N}}]|$)', chr(1) || 'd ' || chr(1) || 'u \1', 'g') as u from named),
 tmpl as (select side, key, id, names, numbers, list_filter(string_split_regex(u, '[^\p{{L}}\p{{N}}\x01]+'), lambda x: x <> '') as t from canon),
-win as (select side, key, unnest(range(len(t) - 4)) as pos, t from tmpl where len(t) >= 5),
-grams as (select side, key, pos, array_to_string(t[pos + 1 : pos + 5], ' ') as w, len(list_filter(t[pos + 1 : pos + 5], lambda x: not starts_with(x, chr(1)))) as plain from win),
+short as (select distinct len(t) as m from tmpl where side = 1 and len(t) between 2 and 4),
+win as (select side, key, unnest(range(len(t) - 4)) as pos, t, 5 as m from tmpl where len(t) >= 5 union all select side, key, unnest(range(len(t) - m + 1)), t, m from tmpl join short on len(t) >= m where side = 0 or len(t) = m),
+grams as (select side, key, pos, array_to_string(t[pos + 1 : pos + m], ' ') as w, len(list_filter(t[pos + 1 : pos + m], lambda x: not starts_with(x, chr(1)))) as plain from win),
 item as (select key as ikey, pos as ipos, w from grams where side = 1 and plain >= 2),
 wanted as (select distinct ikey, w from item),
 of_item as (select ikey, count(*) as n_windows from wanted group by ikey),
@@ -31,5 +32,5 @@ pairs as (select best.key, best.ikey, a.kind, a.value as a, b.value as b from be
 told as (select key, ikey, count(*) as n_slots, count(*) filter (where a <> b) as n_changed, count(distinct row(kind, a)) as ka, count(distinct row(kind, b)) as kb, count(distinct row(kind, a, b)) as kab from pairs group by all)
 select d.id as doc_id, i.id as item_id, near.similarity, near.n_windows, coalesce(n_slots, 0)::bigint as n_slots, coalesce(n_changed, 0)::bigint as n_changed
 from near join tmpl d on d.side = 0 and d.key = near.key join tmpl i on i.side = 1 and i.key = near.ikey left join told on told.key = near.key and told.ikey = near.ikey
-where told.key is null or (ka = kab and kb = kab)
+where (told.key is null or (ka = kab and kb = kab)) and (len(i.t) >= 5 or coalesce(n_changed, 0) = 0)
 """

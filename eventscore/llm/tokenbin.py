@@ -9,15 +9,15 @@ only the frames that hold the documents asked for.
 
 from __future__ import annotations
 
+import json
 import struct
-import threading
-import time
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -30,24 +30,51 @@ SKIP, TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 DOC = np.dtype([("at", "<u8"), ("n", "<u8"), ("named", "u1"), ("id", "<i8")])
 
 
+def cuts_at_blanks(spec: dict) -> bool:
+    """Whether a tokenizer (its file as JSON) gives a text's ids as those of its pieces between blanks, one after the other.
+
+    It does if no step of it looks over a blank: the normalizer composes (NFC), lowers case, and makes white space
+    blanks at most; the pre-tokenizer keeps only matches of an expression, none of whose alternatives takes white space;
+    nothing is put in front; and no added token holds white space. Of any other tokenizer nothing is assumed.
+    """
+    steps = lambda x, many: [] if not x else [s for y in x[many] for s in steps(y, many)] if x["type"] == "Sequence" else [x]
+    normal, cut = steps(spec.get("normalizer"), "normalizers"), steps(spec.get("pre_tokenizer"), "pretokenizers")
+    plain = all(x["type"] in ("NFC", "Lowercase") or (x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"} and x["content"] == " ") for x in normal)
+    if not plain or not cut or cut[0]["type"] != "Split" or cut[0]["behavior"] != "Removed" or not cut[0]["invert"] or "Regex" not in cut[0]["pattern"]:
+        return False
+    # each alternative: characters without white space, or one class that leaves white space out
+    safe = regex.compile(r"[^\s\\\[\](){}.*+?^$|]+|\[(?:\\p\{[LNPSM]\w*\}|[^\s\\\[\]^-])+\]\+?|\[\^\\s(?:\\p\{\w+\}|[^\\\[\]])*\]\+?")
+    if not all(safe.fullmatch(x) for x in cut[0]["pattern"]["Regex"].split("|")):
+        return False
+    if any(x["type"] != "ByteLevel" or x["add_prefix_space"] or x["use_regex"] for x in cut[1:]):
+        return False
+    return not any(c.isspace() for t in spec.get("added_tokens") or () for c in t["content"])
+
+
 class Encoder:
-    """Ids of whole texts. A text is cut at plain spaces and line ends, which the tokenizer drops, and a bounded memory
-    keeps the ids of the pieces that come again; the ids are those of the whole text's encoding.
+    """Ids of whole texts. Where the tokenizer allows it (cuts_at_blanks) a text is cut at plain spaces and line ends, and
+    a memory of at most `most` bytes keeps the ids of the pieces that come again; the ids are those of the whole text's
+    encoding. With any other tokenizer whole texts are encoded.
 
     New pieces go to the library many at a time, with a mark between them that is one id and in none of them.
     """
 
     #: Candidates for the mark: signs that are no letters; the first that is a single id is used.
     MARKS = "\u00b6\u00a7\u2022\u2665\u2764\u2605\u20ac\u2026\u00bb"
+    #: Bytes that an entry takes beside its characters and ids: two objects' heads and its place in the table.
+    ENTRY = 200
     _kept: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 160 << 20):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        spec = json.loads(self.tok.to_str())
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.most, self.young, self.old = most, {}, {}
-        self.used, self.lock = 0.0, threading.Lock()
+        self.cuts = cuts_at_blanks(spec)
+        self.lowers = any(x["type"] == "Lowercase" for x in (spec.get("normalizer") or {}).get("normalizers", [spec.get("normalizer") or {"type": ""}]))
+        self.added = [t["content"][:2].lower() for t in spec.get("added_tokens") or ()]
+        self.most, self.held, self.young, self.old = most, 0, {}, {}
         single = [(m, ids[0]) for m in self.MARKS if len(ids := self.tok.encode(m, add_special_tokens=False).ids) == 1]
         self.sign, self.mark = single[0] if single else ("", None)
 
@@ -73,38 +100,33 @@ class Encoder:
         rest = [p for p in pieces if p not in self.young]
         self.young.update(zip(rest, self._ids(rest), strict=True))
 
-    def rest(self, seconds: float = 15.0) -> None:
-        """After so long without use the memory goes, so that a Python worker kept for other stages doesn't hold it."""
-        timer = threading.Timer(seconds, self._forget, [self.used])
-        timer.daemon = True
-        timer.start()
+    def _size(self, pieces: list[str]) -> int:
+        return sum(len(p) + len(self.young[p]) for p in pieces) + self.ENTRY * len(pieces)
 
-    def _forget(self, used: float) -> None:
-        with self.lock:
-            if self.used == used:
-                self.young, self.old = {}, {}
+    def _lowered(self, t: str) -> str:
+        """In lower case, so that pieces come again more often; not where the start of an added token stands or other letters do."""
+        low = t.lower() if t.isascii() else t
+        return t if any(a in low for a in self.added) else low
 
     def encode_many(self, texts: list[str], end: int | None) -> list[bytes]:
-        with self.lock:
-            self.used = time.monotonic()
-            return self._encode_many(texts, end)
-
-    def _encode_many(self, texts: list[str], end: int | None) -> list[bytes]:
-        texts = [t.lower() if t.isascii() and "<|" not in t else t for t in texts]
+        last = b"" if end is None else np.array([end], self.dtype).tobytes()
+        if not self.cuts:
+            return [x + last for x in self._ids(texts)]
+        if self.lowers:
+            texts = [self._lowered(t) for t in texts]
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         every = set().union(*cut)
-        if len(self.young) + len(every) > self.most // 2:
+        if self.held > self.most // 2:
             # the older half goes; what is still in use moves over
-            self.old, self.young = self.young, {}
+            self.old, self.young, self.held = self.young, {}, 0
         new = [p for p in every if p not in self.young]
         self.young.update((p, self.old[p]) for p in new if p in self.old)
         if learn := [p for p in new if p not in self.young]:
             self._learn(learn)
-        last = b"" if end is None else np.array([end], self.dtype).tobytes()
         out = [b"".join(map(self.young.__getitem__, pieces)) + last for pieces in cut]
-        for p in new:
-            if len(p) > 64:
-                del self.young[p]
+        for p in (long := [p for p in new if len(p) > 64]):
+            del self.young[p]
+        self.held += self._size([p for p in new if len(p) <= 64]) if long else self._size(new)
         return out
 
 
@@ -198,7 +220,6 @@ def encode_frame(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str,
                 part = b.slice(at, len(some))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(enc.encode_many(some, end), pa.binary())], ["id", "tie", "ids"])
                 at += len(some)
-        enc.rest()
 
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), text.alias("text")).mapInArrow(run, "id long, tie long, ids binary")

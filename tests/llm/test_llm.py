@@ -190,6 +190,9 @@ def test_leaks(spark, odd):
     shuffled = decontaminate.contaminated(df, b, spark, broadcast_rows=0)
     assert {(r["doc_id"], r["item_id"]) for r in shuffled.collect()} == set(got)
     assert sorted(r["doc_id"] for r in decontaminate.without_leaks(df, b, spark).collect()) == sorted([*range(30), 102, 103])
+    # rows without an id, or with the same one, are judged each by its text
+    nameless = spark.createDataFrame([(None, docs[0][1]), (None, docs[1][1]), (None, docs[30][1]), (5, docs[2][1]), (5, docs[30][1])], "doc_id long, text string")
+    assert sorted(r["text"] for r in decontaminate.without_leaks(nameless, b, spark).collect()) == sorted(t for _, t in docs[:3])
     assert decontaminate.without_leaks(odd, b, spark).count() == len(ODD)
 
 
@@ -230,11 +233,47 @@ def test_frames_are_read_alone():
 
 
 def test_encoder_is_the_library(tokenizer):
-    e = tokenbin.Encoder(tokenizer, most=200)
+    e = tokenbin.Encoder(tokenizer, most=4000)
+    assert e.cuts
     texts = ["", "  ", "a• •• b", "İS ΟΔΟΣ ς", "<|ENDOFTEXT|> x<|endoftext|>y", "é ́x\tf\xa0b\r\nz", "it's I'LL 'tis ... ,,, a.b", "x" * 3000, "日本 123 4.5", "\x00 \x1c a\x1fb", prose(500, 1)]
     assert e.encode_many(texts, None) == [np.array(e.tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
 
 
+def test_other_tokenizers(spark, tmp_path):
+    """A cased word tokenizer and a byte-level one, for which blanks and capitals say something: whole texts are encoded."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    pytest.importorskip("public_tokenizers")
+    cased = Tokenizer(models.WordLevel({"[u]": 0, "Ab": 1, "ab": 2, "c": 3}, unk_token="[u]"))
+    cased.pre_tokenizer = pre_tokenizers.Whitespace()
+    cased.save(str(tmp_path / "cased.json"))
+    texts = ["Ab ab  c", "", "ab\nc Ab", " x y ", prose(200, 4)]
+    for path in (str(tmp_path / "cased.json"), queries.tokenizer_path("byte_bpe_50k.json")):
+        e = tokenbin.Encoder(path)
+        assert not e.cuts and e.encode_many(texts, None) == [np.array(e.tok.encode(t, add_special_tokens=False).ids, e.dtype).tobytes() for t in texts]
+
+
+def test_memory_of_the_encoder_is_bounded(tokenizer):
+    e = tokenbin.Encoder(tokenizer, most=1 << 18)
+    for k in range(40):
+        e.encode_many([" ".join(f"w{k}x{i}" for i in range(200))], 1)
+        assert e.held + e._size(list(e.young)) <= 2 * e.most
+    assert len(e.young) + len(e.old) < 40 * 200
+
+
+def test_documents_are_read_from_a_file(spark, tokenizer):
+    from tokenizers import Tokenizer
+
+    docs = spark.createDataFrame([(i, prose(300, i)) for i in range(40)], "doc_id long, text string").coalesce(1)
+    manifest, folder = tokenbin.token_files(docs, spark, tokenizer, frame_tokens=256)
+    rows = sorted(manifest.collect(), key=lambda r: r["part"])
+    at = rows[0]
+    tok = Tokenizer.from_file(tokenizer)
+    first = [0, at["n_docs"] - 1]
+    got = tokenbin.read_documents(folder, at["path"], at["bytes"], first)
+    assert [x.tolist() for x in got] == [[*tok.encode(prose(300, i), add_special_tokens=False).ids, 1] for i in first]
+
+
 @pytest.mark.parametrize("zip64", [False, True])
 def test_archives(spark, zip64):
     rows = [(3, "http://a/", "<p>x"), (1, "u", "<p>x"), (2, None, None), (5, "v", ""), (None, "w", "<p>x"), (7, "z", "é" * 50_000), (1, "u", "<p>x")]
@@ -254,13 +293,54 @@ def test_archives(spark, zip64):
 
 
 def test_urls(spark):
-    urls = ["https://M.Example.COM/en/71?x#y", "http://example.com", "http://a.net/de/8", "http://example.net/de/8a", "http://notexample.net/de/8", "https://x.org/es/#q", "nothing", None, "", "http://cheap-pills.example.org/en/3", "http://citynews.example.org/fr/", "http://freecasinobets.example.org/fr/", "a://b://c/d"]
-    pages = spark.createDataFrame([(i, u, "<p>free city news casino bets the of and") for i, u in enumerate(urls)] + [(0, urls[0], None)], "page_id long, url string, html string")
-    got = {r["page_id"]: r for r in urlfilter.judge_urls(pages, spark, queries.RULES).collect()}
+    urls = ["https://M.Example.COM/en/71?x#y", "http://example.com", "http://a.net/de/8", "http://example.net/de/8a", "http://notexample.net/de/8", "https://x.org/es/#q", "nothing", None, "", "a://b://c/d", "http://" + "longname" * 3000 + ".io/", "http://" + "x" * 30 + ".io"]
+    pages = spark.createDataFrame([(i, u, "<p>city news the of and", 1, 2) for i, u in enumerate(urls)] + [(0, urls[0], None, 1, 2), (None, urls[0], "", 1, 2)], "page_id long, url string, html string, host int, token int")
+    rows = urlfilter.judge_urls(pages, spark, queries.RULES).collect()
+    got = {r["page_id"]: r for r in rows}
+    assert len(rows) == len(urls) + 2 and got[None]["verdict"] == "block" or got[None]["rule"] == "example.com/en/7"
     assert [(got[i]["rule"], got[i]["verdict"]) for i in range(6)] == [("example.com/en/7", "allow"), (None, "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("org/es/", "block")]
-    assert [got[i]["verdict"] for i in range(6, 13)] == ["allow", "allow", "allow", "block", "allow", "block", "allow"]
-    assert (got[0]["host"], got[0]["path"]) == ("m.example.com", "/en/71") and (got[7]["host"], got[7]["path"]) == ("", "") and got[12]["host"] == "b:"
-    assert urlfilter.viterbi("citynews", {"city": -5.0, "news": -5.0, "cit": -6.0}, -12.0) == ["city", "news"]
+    assert {got[i]["verdict"] for i in range(6, len(urls))} == {"allow"}
+    assert (got[0]["host"], got[0]["path"]) == ("m.example.com", "/en/71") and (got[7]["host"], got[7]["path"]) == ("", "") and got[9]["host"] == "b:"
+
+
+def splits(token):
+    return [[token]] + [[token[:k], *rest] for k in range(1, len(token)) for rest in splits(token[k:])]
+
+
+def test_viterbi_is_the_best_of_all_splits():
+    r = random.Random(4)
+    for _ in range(150):
+        token = "".join(r.choice("abc") for _ in range(r.randint(1, 9)))
+        logp = {"".join(r.choice("abc") for _ in range(r.randint(1, 4))): -r.random() * 8 for _ in range(12)}
+        cost = lambda words: sum(logp.get(w, -9 - 2.4 * len(w)) for w in words)  # noqa: E731, B023
+        assert cost(urlfilter.viterbi(token, logp, -9.0)) == pytest.approx(max(map(cost, splits(token))))
+
+
+def test_url_classifier_on_held_out_hosts(spark):
+    """Words of two kinds; com blocks hosts of the one, net lets those of the other pass; org hosts, in other pairs of the
+    same words, are for the classifier. Its scores are those of a plain naive Bayes over the true words."""
+    kinds = [[f"{VOCAB[i]}{'kl'[k]}" for i in range(40 * k, 40 * k + 20)] for k in (0, 1)]
+    pairs = [[(a, b) for a in words for b in words] for words in kinds]
+    r = random.Random(9)
+    for p in pairs:
+        r.shuffle(p)
+    rows = [(f"http://{a}{b}.{'com' if k == 0 else 'net'}/", k) for k in (0, 1) for a, b in pairs[k][:150]]
+    test = [(f"http://{a}{b}.org/x", k, a, b) for k in (0, 1) for a, b in pairs[k][150:300]]
+    text = " ".join(w for words in kinds for w in words * 30)
+    pages = spark.createDataFrame([(i, u, text if i < 3 else None) for i, u in enumerate([u for u, _ in rows] + [u for u, *_ in test])], "page_id long, url string, html string")
+    rules = [("com/", "block"), ("net/", "allow")]
+    got = {r["page_id"]: r for r in urlfilter.judge_urls(pages, spark, rules).collect()}
+    mine = [got[len(rows) + i] for i in range(len(test))]
+    assert sum((g["verdict"] == "block") == (k == 0) for g, (_, k, *_) in zip(mine, test, strict=True)) >= 0.95 * len(test)
+    counts = [Counter(w for a, b in pairs[k][:150] for w in (a, b)) for k in (0, 1)]
+    n = [sum(c.values()) for c in counts]
+    odds = lambda w: float(np.log((counts[0][w] / n[0] + 1 / sum(n)) / (counts[1][w] / n[1] + 1 / sum(n))))
+    want = [odds(a) + odds(b) + np.log(0.1 / 0.9) for _, _, a, b in test]
+    assert np.mean([abs(g["score"] - w) < 1e-3 for g, w in zip(mine, want, strict=True)]) > 0.95
+    # none of the rules' own words is learned, and labelled urls are learned beside the rules
+    more = spark.createDataFrame([("http://zzyx.io/", True)] * 40 + [(None, None)], "url string, blocked boolean")
+    both = urlfilter.judge_urls(pages.union(spark.createDataFrame([(9999, "http://zzyx.example/", "zzyx " * 50), (9998, "http://com.example/", None)], pages.schema)), spark, rules, labelled=more)
+    assert {r["page_id"]: r["verdict"] for r in both.where("page_id > 9990").collect()} == {9999: "block", 9998: "allow"}
 
 
 def test_chat(spark):
@@ -271,8 +351,18 @@ def test_chat(spark):
     assert ann["text"] == "<|im_start|>assistant\nhi < |im_end|><|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n" + "<|im_start|>assistant\nx<|im_end|>\n" * 2
     spans = [tuple(map(int, m.split("-"))) for m in ann["masks"].split(",")]
     assert [ann["text"][a:b] for a, b in spans] == ["hi < |im_end|><|im_end|>", "x<|im_end|>", "x<|im_end|>"] and ann["masked_chars"] == sum(b - a for a, b in spans)
-    assert {k[1] for k in got if k[0] in (2, None)} == {"unknown"} and (3, "a_b", 0) in got
-    assert sorted(k[2] for k in got if k[0] == 4) == [0] * 3 + [1] * 3 + [2] * 3 and sum(got[4, "p0", k]["n_turns"] for k in range(3)) == 700
+    assert {k[1] for k in got if k[0] == 2} == {"unknown_"} and {k[1] for k in got if k[0] is None} == {"_"} and (3, "a_b_612062", 0) in got
+    own = [got[4, "p0", k] for k in range(3)]
+    assert [(r["n_turns"], r["n_context"]) for r in own] == [(256, 0), (256, 16), (188, 16)] and sorted(k[2] for k in got if k[0] == 4) == [0] * 3 + [1] * 3 + [2] * 3
+    learned = [r["text"][a:b] for r in own for a, b in (map(int, m.split("-")) for m in r["masks"].split(","))]
+    assert learned == [f"t{i}<|im_end|>" for i in range(0, 700, 3)]
+
+
+def test_speakers_are_told_apart(spark):
+    rows = [(1, 0, "a.b", "x"), (1, 1, "a b", "y"), (1, 2, None, "z"), (1, 3, "unknown", "u"), (1, 4, "a_b", "v"), (1, 5, "", "w"), (None, 0, "p", "q"), (None, 1, "r", "s")]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), spark).collect()
+    assert len({r["speaker"] for r in got if r["conv_id"] == 1}) == 6 and all(r["n_turns"] == 6 for r in got if r["conv_id"] == 1)
+    assert sorted((r["speaker"], r["n_turns"]) for r in got if r["conv_id"] is None) == [("p", 1), ("r", 1)]
 
 
 def test_surrogates(spark, odd):
@@ -421,6 +511,118 @@ def test_pipeline_finds_names_at_starts(spark, tmp_path):
     assert sorted(r["doc_id"] for r in corpus_pipeline.decontamination(spark, df, str(tmp_path)).collect()) == [3, 5]
 
 
+def test_short_items(spark):
+    items = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "Paris"), (3, "how are you")], "item_id long, text string")
+    docs = [(1, "he asked: who wrote Hamlet? nobody knew"), (2, "who wrote Macbeth then"), (3, "Paris is big"), (4, "so how are  you today"), (5, "how are they")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, items, spark).collect()} == {(1, 1), (4, 3)}
+
+
+def test_persons_and_formats():
+    r = lambda t: pii.replace(t, b"k", {})[0]
+    m = re.fullmatch(r"Mrs\. (\S+) (\S+) and Dr\. (\S+) (\S+) met\. (\S+) said (\S+) was late\.", r("Mrs. Anna Smith and Dr. Anna Smith met. Anna said Smith was late."))
+    assert m[1] == m[3] == m[5] != "Anna" and m[2] == m[4] == m[6] != "Smith"
+    assert r("bob@mail.smithfamily.name").endswith(".name") and "smith" not in r("bob@mail.smithfamily.name") and r("a@firm.co.uk").endswith(".co.uk")
+    m = re.fullmatch(r"Mr\. ([A-Z]+) met (\S+), Mrs\. (\S+) and Mr\. (\S+)'s dog; Г-н ([А-я]+)\.", r("Mr. SMITH met McDonald, Mrs. O'Neil and Mr. McDonald's dog; Г-н Иванов."))
+    assert m[2] == m[4] and not {"SMITH", "McDonald", "O'Neil", "Иванов"} & set(m.groups())
+    for text in ("+49 30 1234567", "call 201-1234", "555-1234", "2001:db8::1f", "JOHN SMITH", "Κύριος Παπαδόπουλος"):
+        assert text.split()[-1] not in r(f"see {text}, now")
+    iban = re.search(r"DE\d\d( \w{4}){4} \w\w", r("to DE89 3704 0044 0532 0130 00 now"))[0].replace(" ", "")
+    assert pii.iban_ok(iban) and iban != "DE89370400440532013000"
+    assert re.fullmatch(r"172\.(1[6-9]|2\d|3[01])\.\d+\.\d+", r("172.20.1.2")) and r("at std::vector, 12:30:45, a::b") == "at std::vector, 12:30:45, a::b"
+
+
+def test_full_formats_widen(spark):
+    """All values of a small format are real: every surrogate lies outside of it, and none is shared."""
+    from eventscore.llm.common import Scratch
+
+    e = spark.createDataFrame([("ssn", f"{i:02d}") for i in range(100)], "kind string, core string")
+    late = {r["core"]: r["attempt"] for r in pii.settle(e, b"k", Scratch(spark, "t")).collect()}
+    fake = [pii.surrogate(b"k", "ssn", f"{i:02d}", late[f"{i:02d}"]) for i in range(100)]
+    assert len(set(fake)) == 100 and {len(x) for x in fake} == {3}
+
+
+def test_entities_over_a_corpus(spark):
+    """Planted persons, mails and addresses: every one is replaced, each by one surrogate, different ones by different ones."""
+    r = random.Random(12)
+    people = [(r.choice(sorted(pii.GIVEN)), f"{VOCAB[i].capitalize()}{VOCAB[i + 1]}") for i in range(60)]
+    rows, real = [], {}
+    for i in range(200):
+        (g, f), ip, mail = people[i % 60], f"81.2.{i % 90}.{i % 7}", f"u{i % 70}@site{i % 30}.info"
+        rows.append((i, f"then {g} {f} wrote from {ip} to {mail} and {f} left"))
+        real[i] = (g, f, ip, mail, f)
+    got = {x["doc_id"]: re.fullmatch(r"then (\S+) (\S+) wrote from (\S+) to (\S+) and (\S+) left", x["text"]).groups() for x in pii.protect(spark.createDataFrame(rows, "doc_id long, text string"), spark, b"k").collect()}
+    for k in range(4):
+        there = {(real[i][k].casefold(), got[i][k].casefold()) for i in real}
+        assert len(there) == len({a for a, _ in there}) == len({b for _, b in there}) and not {a for a, _ in there} & {b for _, b in there}
+    assert all(x[1] == x[4] for x in got.values())
+
+
+def test_languages_of_held_out_documents(spark):
+    at = "/root/testdata/sf0.01"
+    if not os.path.isdir(at):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    got = queries.QUERIES["op9_language_id"](spark, at).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'")
+    right, n = got.select(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
+    assert n > 200 and right >= 0.97 * n
+
+
+def test_duels_keep_expected_copies():
+    """A pivotal step in plain arithmetic: whole words are kept, one of two settles, and the odds keep each expectation."""
+    r = random.Random(3)
+    for _ in range(300):
+        a, b, sa, sb = r.random(), r.random(), r.randint(1, 50), r.randint(1, 50)
+        up, down = min(1 - a, b * sb / sa), min(a, (1 - b) * sb / sa)
+        chance = down / (up + down)
+        ends = [(a + up, b - up * sa / sb), (a - down, b + down * sa / sb)]
+        assert all(min(abs(x) for x in (p, 1 - p, q, 1 - q)) < 1e-9 for p, q in ends)
+        assert chance * ends[0][0] + (1 - chance) * ends[1][0] == pytest.approx(a) and chance * ends[0][1] + (1 - chance) * ends[1][1] == pytest.approx(b)
+
+
+def test_copies_are_taken_as_often_as_expected(spark):
+    """Over many seeds a unit's share of ups is its probability, and each source's words stay within a document of the target."""
+    from eventscore.llm.common import Scratch
+
+    units = [("s", 40, i, 1000 + i, 5 + i % 7, 0.3) for i in range(40)]
+    df = spark.createDataFrame(units, "source string, n long, row long, key long, size long, p double").coalesce(1)
+    ups = Counter()
+    for seed in range(12):
+        got = {r["row"]: r["up"] for r in mixing.round_copies(df, Scratch(spark, "t"), seed=seed, fan=8).collect()}
+        assert len(got) == 40 and abs(sum(u[4] * got[u[2]] for u in units) - sum(u[4] * 0.3 for u in units)) < 11
+        ups.update(got)
+    assert abs(sum(ups.values()) / 480 - 0.3) < 0.05
+
+
+def test_pipeline_end_to_end(spark, tmp_path, tokenizer):
+    """Planted cases through all stages, and the token files' rows against the mixed documents."""
+    import corpus_pipeline
+
+    leak = "the old baker sold warm loaves for 7 days and then the clerk said that nothing was left in the wide store room"
+    rows = [(i, prose(90, 4000 + i), "en", "ab"[i % 2], 0) for i in range(40)]
+    near = rows[3][1].split()
+    rows += [(100, " ".join(near), "en", "a", 0), (101, " ".join([*near[:40], "other", *near[41:]]), "en", "b", 0), (102, prose(30, 1) + " " + leak + " " + prose(30, 2), "en", "a", 0), (103, "too short", "en", "a", 0), (104, None, None, None, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+    kept = Counter(r["doc_id"] for r in docs.collect())
+    assert set(kept) <= set(range(40)) and max(kept.values()) <= 2
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(r["doc_id"] for r in got) == kept
+    from tokenizers import Tokenizer
+
+    tok, at = Tokenizer.from_file(tokenizer), 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        ids = [*tok.encode(rows[r["doc_id"]][1], add_special_tokens=False).ids, 1]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 def test_later_mentions_and_untitled_persons(spark):
     texts = ["Mrs. Anna Smith called. Smith left, Anna stayed.", "Then Peter Kowalski came; Kowalski spoke and Peter wrote to Smithson.", "The Old Town of New York has no person."]
     got = {r["doc_id"]: r for r in pii.protect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark, b"k").collect()}
