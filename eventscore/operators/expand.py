@@ -90,11 +90,11 @@ def _start() -> Column:
 
 
 def expand(rows: DataFrame) -> DataFrame:
-    """Notes of parsed documents: (doc_id, start, dur, cents, voice, vel, stream, inst, env, vib, stream_pos, ORDER).
+    """Notes of parsed documents: (doc_id, start, dur, cents, voice, vel, stream, inst, env, vib, wrong, stream_pos, ORDER).
 
     Seconds come from the document's grid, deviations included. Lengths: none is 0.25 s, beats of an event in absolute
     seconds are 0.5 s each, the least is 0.02 s. `.` is the root of the bar's chord, and goes where there is none. A
-    velocity not told is 90. Vibrato is taken from contour streams of the same track at the same millisecond. Sorted by
+    velocity not told is 90. A pitch that can't be read gives a note without cents that says so in `wrong`. Vibrato is taken from contour streams of the same track at the same millisecond. Sorted by
     (start, stream_pos, ORDER) a document's notes stand in its own order; the frame itself is not sorted. Documents in
     which a line did not parse have notes for the lines before it.
     """
@@ -119,5 +119,5 @@ def expand(rows: DataFrame) -> DataFrame:
     perc, root = _kind() == "perc", e["atom"] == "."
     return whole.where(perc | ~root | F.col("root").isNotNull()).select(
         "doc_id", (F.col("_at") + e["dev"] / 1000).alias("start"), "dur", F.when(perc, F.lit(None)).when(root, F.col("root")).otherwise(parse_pitch(e["atom"])).alias("cents"), F.when(perc, e["atom"]).alias("voice"),
-        F.coalesce(e["vel"], F.lit(90)).alias("vel"), "stream", F.coalesce("inst", F.lit("unknown")).alias("inst"), envelope(e["blocks"]["env"]).alias("env"), vibrato(F.col("_vib")).alias("vib"), "stream_pos", *ORDER,
+        F.coalesce(e["vel"], F.lit(90)).alias("vel"), "stream", F.coalesce("inst", F.lit("unknown")).alias("inst"), envelope(e["blocks"]["env"]).alias("env"), vibrato(F.col("_vib")).alias("vib"), F.when(~perc & ~root & parse_pitch(e["atom"]).isNull(), F.concat(F.lit("not a pitch: "), e["atom"])).alias("wrong"), "stream_pos", *ORDER,
     )

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,71 +57,103 @@ def clusters(df: DataFrame, by: list[str], on: str, gap: float) -> DataFrame:
     return df.withColumn("_new", F.coalesce((F.col(on) - F.lag(on).over(w) > gap).cast("int"), F.lit(0))).withColumn("_cluster", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def greedy_pairs(a: np.ndarray, b: np.ndarray, tolerance: float) -> int:
-    """Most one-to-one pairs of two sorted series within a tolerance; on a line two pointers find it."""
-    i = j = n = 0
-    while i < len(a) and j < len(b):
-        if abs(a[i] - b[j]) <= tolerance:
-            i, j, n = i + 1, j + 1, n + 1
-        elif a[i] < b[j]:
-            i += 1
-        else:
-            j += 1
-    return n
-
-
 def most_pairs(links: list[list[int]], n_right: int) -> int:
-    """Size of a maximum matching of a bipartite graph, by augmenting paths."""
-    owner = [-1] * n_right
-    found = 0
-    for start in range(len(links)):
+    """Size of a maximum matching of a bipartite graph, by augmenting paths along depth-first searches without recursion."""
+    mate_left, mate_right = [-1] * len(links), [-1] * n_right
+    for root in range(len(links)):
         seen: set[int] = set()
-        stack, came = [(start, iter(links[start]))], {}
-        while stack:
-            u, rest = stack[-1]
-            v = next((x for x in rest if x not in seen), None)
+        path = [(root, iter(links[root]))]
+        came: list[int] = []
+        while path:
+            v = next((x for x in path[-1][1] if x not in seen), None)
             if v is None:
-                stack.pop()
+                path.pop()
+                if came:
+                    came.pop()
                 continue
             seen.add(v)
-            came[v] = u
-            if owner[v] < 0:
-                while True:
-                    u = came[v]
-                    free = next((x for x in range(n_right) if owner[x] == u), None)
-                    owner[v] = u
-                    if free is None or u == start:
-                        break
-                    v = free
-                found += 1
+            came.append(v)
+            if mate_right[v] < 0:
+                for (u, _), w in zip(path, came, strict=True):
+                    mate_left[u], mate_right[w] = w, u
                 break
-            stack.append((owner[v], iter(links[owner[v]])))
-    return found
+            path.append((mate_right[v], iter(links[mate_right[v]])))
+    return sum(x >= 0 for x in mate_left)
+
+
+def sweep(df: DataFrame, keys: list[str], order: list[str], schema: str, step, end) -> DataFrame:
+    """Runs step(state, row, out) over each key's rows in order, then end(key, state, out); state is a dict that starts empty,
+    out takes rows of schema. Rows are dealt by keys, sorted, and stream through: a task holds one state and one batch."""
+    cols = [*df.columns]
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches):
+        now, state = None, {}
+        for pdf in batches:
+            out: list[tuple] = []
+            for row in pdf.itertuples(index=False, name=None):
+                row = dict(zip(cols, row, strict=True))
+                key = tuple(row[k] for k in keys)
+                if key != now:
+                    if now is not None:
+                        end(now, state, out)
+                    now, state = key, {}
+                step(state, row, out)
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        out = []
+        if now is not None:
+            end(now, state, out)
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    names = [x.strip().split(" ")[0].strip("`") for x in schema.split(", ")]
+    return dealt.mapInPandas(run, schema)
 
 
 def match_counts(left: DataFrame, right: DataFrame, by: list[str], on: str, tolerance: float, other: str | None = None, other_tolerance: float = 0.0) -> DataFrame:
     """Per key: n_left, n_right, n_matched, f1 of a one-to-one matching within the tolerance(s).
 
-    No match crosses a cluster, so 64 clusters at a time go to Python, and those with one side alone not at all.
+    No match crosses a cluster, so clusters are dealt each for itself, and those with one side alone not at all. On a
+    line each row takes the earliest open partner, in one pass that holds what lies within the tolerance. With a second
+    tolerance a cluster's links, found within the tolerance of the sorted rows, go through augmenting paths.
     """
     cols = [*by, on] + ([other] if other else [])
     both = left.select(*cols, F.lit(True).alias("_l")).unionByName(right.select(*cols, F.lit(False).alias("_l")))
     both = clusters(both, by, on, tolerance)
     mixed = F.min("_l").over(Window.partitionBy(*by, "_cluster")) != F.max("_l").over(Window.partitionBy(*by, "_cluster"))
     sides = both.groupBy(*by).agg(F.count_if("_l").alias("n_left"), F.count_if(~F.col("_l")).alias("n_right"))
-    both = both.withColumn("_mixed", mixed).where("_mixed").withColumn("_pack", F.floor(F.col("_cluster") / 64)).drop("_mixed", "_cluster")
-    schema = ", ".join([*(f"{k} {both.schema[k].dataType.simpleString()}" for k in by), "m long"])
+    both = both.withColumn("_mixed", mixed).where("_mixed").drop("_mixed")
+    schema = ", ".join([*(f"`{k}` {both.schema[k].dataType.simpleString()}" for k in by), "m long"])
 
-    def match(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(on)
-        a, b = pdf[pdf["_l"]], pdf[~pdf["_l"]]
+    def step(state: dict, row: dict, out: list) -> None:
+        mine, theirs = state.setdefault(row["_l"], deque()), state.setdefault(not row["_l"], deque())
         if other is None:
-            m = greedy_pairs(a[on].to_numpy(), b[on].to_numpy(), tolerance)
+            while theirs and row[on] - theirs[0] > tolerance:
+                theirs.popleft()
+            if theirs:
+                theirs.popleft()
+                state["m"] = state.get("m", 0) + 1
+            else:
+                mine.append(row[on])
+            return
+        state.setdefault("links", [])
+        state["n"] = state.get("n", 0)
+        at = (row[on], row[other], len(state["links"]) if row["_l"] else state["n"])
+        if row["_l"]:
+            state["links"].append([])
         else:
-            near = (np.abs(a[on].to_numpy()[:, None] - b[on].to_numpy()) <= tolerance) & (np.abs(a[other].to_numpy()[:, None] - b[other].to_numpy()) <= other_tolerance)
-            m = most_pairs([list(np.flatnonzero(x)) for x in near], len(b))
-        return pd.DataFrame([[*keys[: len(by)], m]], columns=[*by, "m"])
-
-    found = both.groupBy(*by, "_pack").applyInPandas(match, schema).groupBy(*by).agg(F.sum("m").alias("n_matched"))
+            state["n"] += 1
+        mine.append(at)
+        while theirs and row[on] - theirs[0][0] > tolerance:
+            theirs.popleft()
+        for _, v, i in theirs:
+            if abs(v - row[other]) <= other_tolerance:
+                state["links"][at[2] if row["_l"] else i].append(i if row["_l"] else at[2])
+
+    def end(key: tuple, state: dict, out: list) -> None:
+        out.append((*key[:-1], state.get("m", 0) if other is None else most_pairs(state["links"], state["n"])))
+
+    found = sweep(both, [*by, "_cluster"], [on, "_l"], schema, step, end).groupBy(*by).agg(F.sum("m").alias("n_matched"))
     every = sides.join(found, by, "left").na.fill(0, ["n_matched"])
     return every.withColumn("f1", 2.0 * F.col("n_matched") / (F.col("n_left") + F.col("n_right")))

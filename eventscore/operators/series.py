@@ -28,13 +28,14 @@ def islands(df: DataFrame, by: list[str], order: list[str], starts: Column, name
     return df.withColumn("_s", F.coalesce(starts, F.lit(False)).cast("int")).withColumn(name, F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
 
 
-def merge_intervals(df: DataFrame, by: list[str], a: str, b: str, slack: float, order: list[str]) -> DataFrame:
-    """Intervals of a key that begin at most `slack` after the latest end so far become one; first row's place, n rows."""
+def merge_intervals(df: DataFrame, by: list[str], a: str, b: str, slack: float, order: list[str], *, most: list[str] = [], first: list[str] = []) -> DataFrame:  # noqa: B006
+    """Intervals of a key that begin at most `slack` after the latest end so far become one; n rows, the most of the columns
+    `most` (amplitudes), and of the columns `first` (bends) the first row's value."""
     w = Window.partitionBy(*by).orderBy(a, *order)
     reach = F.max(b).over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = df.withColumn("_reach", reach)
     parts = islands(marked, by, [a, *order], F.col(a) > F.col("_reach") + slack)
-    return parts.groupBy(*by, "island").agg(F.min(a).alias(a), F.max(b).alias(b), F.count("*").alias("n"))
+    return parts.groupBy(*by, "island").agg(F.min(a).alias(a), F.max(b).alias(b), F.count("*").alias("n"), *(F.max(c).alias(c) for c in most), *(F.min_by(c, F.struct(a, *order)).alias(c) for c in first))
 
 
 def nudge(df: DataFrame, by: list[str], on: str, order: list[str], step: float, name: str) -> DataFrame:

@@ -56,13 +56,13 @@ bars 5-7 like 1-2 vel -60 transpose 2
 1:1.0 vib vib{ rate 5.4Hz, depth ±31c, onset 0.22s }
 f0 @0.000 5700 5701 x
 
-:future.thing  weird=1
-@1.0 blah 42
+:later.kind  odd=yes
+@2.5 thing 17
 """
 
 
 def sample(spark: SparkSession) -> DataFrame:
-    return sc.parse_documents(spark.createDataFrame([("sample", SAMPLE), ("empty", "")], "doc_id string, text string"))
+    return files.staged(sc.parse_documents(spark.createDataFrame([("sample", SAMPLE), ("empty", "")], "doc_id string, text string")), "parsed")
 
 
 @query()
@@ -108,34 +108,35 @@ NOTES_SQL = f"""day as (select *, us % 86400000000 as u from ev),
 @query("with {ev}, " + NOTES_SQL + " select doc_id, count(*) as n, round(sum(start), 3) as starts, round(sum(dur), 4) as durs, sum(cents)::double as cents, sum(vel)::bigint as vels from notes group by doc_id")
 def sc_expand(spark: SparkSession, d: str) -> DataFrame:
     """Events written as documents, parsed, timed and expanded: the notes of every user, summed."""
-    notes = expand.expand(sc.parse_documents(user_documents(spark, d)))
+    notes = expand.expand(files.staged(sc.parse_documents(user_documents(spark, d)), "parsed"))
     return notes.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum("start"), 3).alias("starts"), r4(F.sum("dur"), "durs"), F.sum("cents").alias("cents"), F.sum("vel").cast("long").alias("vels"))
 
 
 @query(f"with {{ev}} select cast(user_id as varchar) as doc_id, bar::int as bar, round((bar - 1) * {BEATS * 60 / BPM}::double, 4) as start from (select distinct user_id from ev) cross join (select unnest(range(1, 17)) as bar)")
 def sc_timebase(spark: SparkSession, d: str) -> DataFrame:
     """The first 16 bars of every user's document."""
-    return timebase.bar_starts(sc.parse_documents(user_documents(spark, d)), 16).select("doc_id", "bar", r4(F.col("start"), "start"))
+    return timebase.bar_starts(files.staged(sc.parse_documents(user_documents(spark, d)), "parsed"), 16).select("doc_id", "bar", r4(F.col("start"), "start"))
 
 
-@query("with {ev}, g as (select user_id, event_type, count(*) as n, sum(value) as s from ev group by all) select user_id, event_type, n, round(s, 4) as s, case when n > 2 then round(s / n, 4) end as mean, lpad(cast(user_id as varchar), 8, ' ') || '  ' || rpad(event_type, 10, ' ') || '  ' || lpad(cast(n as varchar), 5, ' ') as line from g")
+@query("with {ev}, g as (select user_id, event_type, count(*) as n, sum(round(value * 100)::bigint) as s from ev group by all) select user_id, event_type, n, s::double / 100 as s, case when n > 2 then floor(s::double * 100 / n)::bigint::double / 10000 end as mean, lpad(cast(user_id as varchar), 8, ' ') || '  ' || rpad(event_type, 10, ' ') || '  ' || lpad(cast(n as varchar), 5, ' ') as line from g")
 def io_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """A history written in two appends as JSON lines (no non-finite numbers), read back, replaced at once, and set as a text table."""
-    g = events(spark, d).groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("s"))
-    mean = files.finite(F.when(F.col("n") > 2, F.col("s") / F.col("n")).otherwise(float("nan")))
-    g = g.withColumn("mean", mean)
+    """A history written in two appends as JSON lines (no non-finite numbers), read back, replaced at once, and set as a text
+    table. Values are summed as whole hundredths and means cut to four digits, so no sum ends on a tie."""
+    g = events(spark, d).groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("h"))
+    mean = files.finite(F.when(F.col("n") > 2, F.floor(F.col("h").cast("double") * 100 / F.col("n")).cast("double") / 10000).otherwise(float("nan")))
+    g = g.select("user_id", "event_type", "n", (F.col("h").cast("double") / 100).alias("s"), mean.alias("mean"))
     at = files.shared_folder(spark, "roundtrip")
     schema = "user_id long, event_type string, n long, s double, mean double"
     for odd in (0, 1):
         files.append_history(g.where(F.col("user_id") % 2 == odd), f"{at}/history")
     files.replace(files.read_history(spark, f"{at}/history", schema), f"{at}/report", ignoreNullFields="false")
     back = files.read_history(spark, f"{at}/report", schema)
-    return back.select("user_id", "event_type", "n", r4(F.col("s"), "s"), r4(F.col("mean"), "mean"), files.fixed_width({"user_id": 8, "event_type": 10, "n": 5}, left=("event_type",)).alias("line"))
+    return back.select("user_id", "event_type", "n", "s", "mean", files.fixed_width({"user_id": 8, "event_type": 10, "n": 5}, left=("event_type",)).alias("line"))
 
 
-@query("with {ev}, " + FRAMES_SQL + ", " + SLICED_SQL + ", " + raw_sql("song, part, pos", "sliced") + " select song, part, count(*) as n_slices, count(score) as n_scored, round(min(score), 4) as worst, round(max(score), 4) as best, round(avg(score), 4) as mean from parts where song < 2 group by song, part")
+@query("with {ev}, " + FRAMES_SQL + ", " + SLICED_SQL + ", " + raw_sql("song, part, pos", "sliced") + " select song, part, count(*) as n_slices, count(score) as n_scored, round(min(score), 4) as worst, round(max(score), 4) as best, round(avg(score), 4) as mean from parts group by song, part")
 def sco10_full(spark: SparkSession, d: str) -> DataFrame:
-    """Two songs scored in full, slice by slice, gathered by part: how many slices have a score, the worst, best and mean."""
-    f = sliced(frames(spark, d).where("song < 2"))
+    """All songs scored in full, slice by slice, gathered by part: how many slices have a score, the worst, best and mean."""
+    f = sliced(frames(spark, d))
     scored = scoring.roll_up(scoring.score_metrics(raw_metrics(f, ["song", "part", "pos"]), anchors(spark)), ["song", "part", "pos"])
     return scored.groupBy("song", "part").agg(F.count("*").alias("n_slices"), F.count("score").alias("n_scored"), r4(F.min("score"), "worst"), r4(F.max("score"), "best"), r4(F.avg("score"), "mean"))

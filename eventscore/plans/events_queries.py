@@ -225,13 +225,13 @@ def win4_tumbling(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("event_type", "block").agg(r4(10 * F.log10(F.nullif(F.sum("e") / F.sum("n"), F.lit(0.0))), "level"), r4(10 * F.log10(F.nullif(F.max("p"), F.lit(0.0))), "loudest"))
 
 
-@query("""with {ev}, x as (select user_id, event_type, event_id, t as a, t + value * 60 as b from ev), r as (select *, max(b) over (partition by user_id, event_type order by a, event_id rows between unbounded preceding and 1 preceding) as reach from x),
+@query("""with {ev}, x as (select user_id, event_type, event_id, value, t as a, t + value * 60 as b from ev), r as (select *, max(b) over (partition by user_id, event_type order by a, event_id rows between unbounded preceding and 1 preceding) as reach from x),
  i as (select *, sum(case when a > reach + 1800 then 1 else 0 end) over (partition by user_id, event_type order by a, event_id rows unbounded preceding) as island from r)
- select user_id, event_type, cast(island as bigint) as island, round(min(a), 4) as a, round(max(b), 4) as b, count(*) as n from i group by 1, 2, 3""")
+ select user_id, event_type, cast(island as bigint) as island, round(min(a), 4) as a, round(max(b), 4) as b, count(*) as n, max(value) as amp, arg_min(event_id, (a, event_id)) as bend from i group by 1, 2, 3""")
 def win6_merge(spark: SparkSession, d: str) -> DataFrame:
-    x = events(spark, d).select("user_id", "event_type", "event_id", F.col("t").alias("a"), (F.col("t") + F.col("value") * 60).alias("b"))
-    m = series.merge_intervals(x, ["user_id", "event_type"], "a", "b", 1800.0, ["event_id"])
-    return m.select("user_id", "event_type", "island", r4(F.col("a"), "a"), r4(F.col("b"), "b"), "n")
+    x = events(spark, d).select("user_id", "event_type", "event_id", F.col("t").alias("a"), (F.col("t") + F.col("value") * 60).alias("b"), F.col("value").alias("amp"), F.col("event_id").alias("bend"))
+    m = series.merge_intervals(x, ["user_id", "event_type"], "a", "b", 1800.0, ["event_id"], most=["amp"], first=["bend"])
+    return m.select("user_id", "event_type", "island", r4(F.col("a"), "a"), r4(F.col("b"), "b"), "n", "amp", "bend")
 
 
 @query("""with {ev}, x as (select *, t - lag(t) over (partition by user_id order by t, event_id) > 21600 as s from ev), i as (select *, sum(case when s then 1 else 0 end) over (partition by user_id order by t, event_id rows unbounded preceding) as phrase from x)

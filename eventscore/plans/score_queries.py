@@ -286,8 +286,8 @@ def win3_blocks(spark: SparkSession, d: str) -> DataFrame:
 def win9_fold(spark: SparkSession, d: str) -> DataFrame:
     x = events(spark, d).select("user_id", "event_id", "t", (F.col("t") + F.col("value") * 60).alias("end"), "value")
     mono = folds.monophonic(x, ["user_id"], "t", "end", "value", 500 * 60.0)
-    s = folds.segments(mono, ["user_id"], "t", 15 * H, 2 * H)
-    return s.groupBy("user_id", "stretch", "segment").agg(F.count("*").alias("n"), r4(F.min("t"), "a"), r4(F.max("end"), "b"))
+    s = folds.segments(mono, ["user_id"], "t", "end", 0.0, 720 * H, 15 * H, 2 * H, H)
+    return s.select("user_id", "segment", r4(F.col("a"), "a"), r4(F.col("b"), "b"))
 
 
 @query("""with {ev} select cast(floor(t / 108000) as bigint) as chunk, count(*) as own, (select count(*) from ev y where y.t >= floor(min(x.t) / 108000) * 108000 - 3600 and y.t < floor(min(x.t) / 108000) * 108000 + 111600) as read from ev x group by 1""")
@@ -314,5 +314,5 @@ def win25_spaced(spark: SparkSession, d: str) -> DataFrame:
 @query("""with x as (select n_nationkey, 'notes.' || n_regionkey as name, substr(n_name, 1, 1) as stem from nation), k as (select *, row_number() over (partition by name order by n_nationkey) as k from x), j as (select *, sum(case when k > 1 then 1 else 0 end) over (partition by name, stem order by n_nationkey rows unbounded preceding) as j from k)
  select n_nationkey, case when k = 1 then name when j = 1 then name || '.' || stem else name || '.' || stem || cast(cast(j as bigint) as varchar) end as label from j""")
 def set5_unique_names(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("notes."), "n_regionkey").alias("name"), F.substring("n_name", 1, 1).alias("stem"))
-    return folds.unique_names(n, ["name"], "name", "stem", "n_nationkey").select("n_nationkey", F.col("unique").alias("label"))
+    n = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("notes."), "n_regionkey").alias("name"), F.substring("n_name", 1, 1).alias("stem"), "n_regionkey")
+    return folds.unique_names(n, ["n_regionkey"], "name", "stem", "n_nationkey").select("n_nationkey", F.col("unique").alias("label"))

@@ -5,30 +5,67 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset a local master gets an own folder (tests); on a cluster executors could not
+    see it, so that raises."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='eventscore-')}"
+    return root.rstrip("/")
+
+
+def _path(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, or below an own one where that is unset (tests); it goes with the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='eventscore-')}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """A new folder below the shared one; it goes with the session."""
+    path, fs = _path(spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}")
     fs.mkdirs(path)
     fs.deleteOnExit(path)
     return path.toString()
 
 
+def staged(df: DataFrame, name: str = "staged") -> DataFrame:
+    """df written once to the shared folder and read again: what follows several times from it is computed once."""
+    at = shared_folder(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def replace(df: DataFrame, path: str, **options) -> None:
-    """Writes JSON lines to a staging path, then renames: readers see the old files or all the new ones."""
+    """Writes JSON lines to a staging path and then takes the place of path: the old files are renamed aside before, come
+    back if the rename fails, and go at last. After a crash in between recover() brings them back, so none are lost."""
     spark = df.sparkSession
+    recover(spark, path)
     df.write.mode("overwrite").options(**options).json(f"{path}.part")
-    jvm = spark.sparkContext._jvm
-    at, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.part")
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(at, True)
+    (at, fs), (part, _), (old, _) = (_path(spark, x) for x in (path, f"{path}.part", f"{path}.old"))
+    had = fs.exists(at)
+    if had and not fs.rename(at, old):
+        raise OSError(f"could not move {path} aside")
     if not fs.rename(part, at):
+        if had:
+            fs.rename(old, at)
         raise OSError(f"could not rename to {path}")
+    if had:
+        fs.delete(old, True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Ends a replace() that was cut off: with the new files where they stand, else with the old ones."""
+    (at, fs), (old, _) = _path(spark, path), _path(spark, f"{path}.old")
+    if fs.exists(old):
+        if fs.exists(at):
+            fs.delete(old, True)
+        elif not fs.rename(old, at):
+            raise OSError(f"could not bring {path} back")
 
 
 def finite(c: Column) -> Column:
@@ -41,14 +78,19 @@ def to_json(c: Column) -> Column:
     return F.to_json(c, {"ignoreNullFields": "false"})
 
 
-def append_history(runs: DataFrame, path: str) -> None:
-    """Appends runs as JSON lines, once and only when all of them are computed."""
-    runs.write.mode("append").json(path)
+def append_history(runs: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """Appends runs as JSON lines, once and only when all of them are computed, with `seq`, their place in the history: they
+    follow what is there, among themselves by order (by all their columns if None). An append is a few lines, one a run."""
+    spark = runs.sparkSession
+    at, fs = _path(spark, path)
+    last = (spark.read.schema("seq long").json(path).agg(F.max("seq")).first()[0] or 0) if fs.exists(at) else 0
+    place = F.row_number().over(Window.orderBy(*(order or runs.columns)))
+    runs.withColumn("seq", (F.lit(last) + place).cast("long")).write.mode("append").json(path)
 
 
 def read_history(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Runs with their own `seq`: files have no order of lines. Blank lines are skipped."""
-    return spark.read.schema(schema).json(path)
+    """Runs with `seq`, their place in the order of appends: files have no order of lines. Blank lines are skipped."""
+    return spark.read.schema(f"{schema}, seq long").json(path)
 
 
 def fixed_width(columns: dict[str, int], *, left: tuple[str, ...] = ()) -> Column:
@@ -76,11 +118,15 @@ def documents(streams: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def number_lines(df: DataFrame, by: list[str], at: str, value: str, *, rate: float = 50.0, width: int = 50) -> DataFrame:
-    """(by, line): `f0 @t v v v`, `width` values a line, of a series at `rate` values a second."""
-    line = F.floor(F.round(F.col(at) * rate) / width).cast("long")
-    cells = F.transform(F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), F.round(value).cast("long").cast("string").alias("v")))), lambda x: x["v"])
-    each = df.groupBy(*by, line.alias("_line")).agg(F.min(at).alias("_t"), cells.alias("_v"))
-    return each.select(*by, F.col("_line").alias("pos"), F.concat(F.format_string("f0 @%.3f ", "_t"), F.array_join("_v", " ")).alias("line"))
+    """(by, pos, line): `f0 @t v v v`, `width` values a line at most, of a series at `rate` values a second. A line ends at a
+    gap, so each value's time follows from its line's start."""
+    w = Window.partitionBy(*by).orderBy(at)
+    gap = F.coalesce(F.col(at) - F.lag(at).over(w) > 1.5 / rate, F.lit(True))
+    runs = df.select(*by, F.col(at).alias("_at"), F.col(value).alias("_value"), gap.cast("long").alias("_new")).withColumn("_run", F.sum("_new").over(Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)))
+    placed = runs.withColumn("_line", F.floor((F.row_number().over(Window.partitionBy(*by, "_run").orderBy("_at")) - 1) / width))
+    cells = F.transform(F.sort_array(F.collect_list(F.struct(F.col("_at").alias("at"), F.round("_value").cast("long").cast("string").alias("v")))), lambda x: x["v"])
+    each = placed.groupBy(*by, "_run", "_line").agg(F.min("_at").alias("_t"), cells.alias("_v"))
+    return each.select(*by, F.round(F.col("_t") * rate).cast("long").alias("pos"), F.concat(F.format_string("f0 @%.3f ", "_t"), F.array_join("_v", " ")).alias("line"))
 
 
 def number_rows(rows: DataFrame, *, rate: float = 50.0) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_folder
+
 
 def counts(events: DataFrame, length: str = "6 hours") -> DataFrame:
     """(a, event_type, n, total) by tumbling windows; the same plan for a batch and a stream with a watermark."""
@@ -15,11 +14,18 @@ def counts(events: DataFrame, length: str = "6 hours") -> DataFrame:
 
 
 def streamed_counts(spark: SparkSession, path: str) -> DataFrame:
-    """(a, event_type, n, total) from a stream over the files, all windows out (complete mode, run until the input's end)."""
+    """(a, event_type, n, total) from a stream over the files, run until the input's end; every batch's windows go to a folder
+    of their own, and the last one that is whole holds all windows (complete mode), read from files, not from the driver."""
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).parquet(path if path.endswith("/") else f"{path}*").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
-    name = f"counts_{uuid.uuid4().hex[:8]}"
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="eventscore-")
-    q = counts(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{root}/{name}").trigger(availableNow=True).start()
+    root, done = shared_folder(spark, "stream"), []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        # a batch that is run again after a failure overwrites its own folder
+        batch.write.mode("overwrite").parquet(f"{root}/out-{number}")
+        done.append(number)
+
+    shape = counts(spark.read.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))).schema
+    q = counts(stream).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(shape).parquet(f"{root}/out-{max(done)}") if done else spark.createDataFrame([], shape)

@@ -41,6 +41,8 @@ def test_lines():
     assert kinds(":x\nmeta src=a warn=\"b c\"\n!auto g 1:1 0.5 -> 2:1 1")[1:] == [("meta", "src", ["a"]), ("warn", "warn", ["b c"]), ("auto", "g", ["1:1", "0.5", "2:1", "1.0"])]
     assert [k for k, *_ in kinds(":x\n1:1 C4\nbars x y\n1:2 C4")] == ["stream", "event", "error"]
     assert kinds("") == []
+    assert kinds(':a ~"g h" n{ x 1 } k="v w"\n~"no"')[1:4] == [("gloss", None, ["g h"]), ("block", "n", ["x 1"]), ("field", "k", ["v w"])]
+    assert [k for k, *_ in kinds(":x\n%pat p 1 C4")] == ["stream", "error"] and [k for k, *_ in kinds(":x\n!auto g 1:1 0.5 -> z 1")] == ["stream", "error"]
 
 
 def reference_time(tempo, t0, beats, steps=200_000):
@@ -110,6 +112,20 @@ def test_json_and_tables(spark, tmp_path):
     for _ in range(2):
         files.replace(df.select("k"), f"file://{tmp_path}/report")
     assert files.read_history(spark, f"file://{tmp_path}/report", "k string").count() == 4
+    (tmp_path / "report").rename(tmp_path / "report.old")
+    files.recover(spark, f"file://{tmp_path}/report")
+    assert files.read_history(spark, f"file://{tmp_path}/report", "k string").count() == 4
+    for part in ("k in ('b', 'a')", "k = 'd'", "k = 'c'"):
+        files.append_history(df.select("k").where(part), f"file://{tmp_path}/runs")
+    assert [r["k"] for r in files.read_history(spark, f"file://{tmp_path}/runs", "k string").orderBy("seq").collect()] == ["a", "b", "d", "c"]
+
+
+def test_lines_end_at_gaps(spark):
+    df = spark.createDataFrame([("a", i / 50, 100.0 + i) for i in [*range(10), *range(20, 90)]], "doc_id string, t double, v double")
+    lines = files.number_lines(df, ["doc_id"], "t", "v").withColumn("stream_pos", F.lit(0))
+    streams = spark.createDataFrame([("a", 0, "contour.x", None, None)], "doc_id string, stream_pos int, head string, meta string, omitted string")
+    back = files.number_rows(sc.parse_documents(files.documents(streams, lines))).collect()
+    assert sorted((round(r["t"], 3), r["value"]) for r in back) == [(round(r["t"], 3), r["v"]) for r in df.orderBy("t").collect()]
 
 
 def test_found_files(spark, tmp_path):
