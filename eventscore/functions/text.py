@@ -15,6 +15,12 @@ def heard_words(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.explode(F.split(F.regexp_replace(F.lower(text), "-", " "), " ")).alias("_w")).select(*keep, normal_word(F.col("_w")).alias("word")).where("word <> ''")
 
 
+def word_counts(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """(keep, word, n): raw tokens are counted first, so each different one is normalised once a key."""
+    raw = df.select(*keep, F.explode(F.split(F.lower(text), "[- ]")).alias("_w")).groupBy(*keep, "_w").agg(F.count("*").alias("_n"))
+    return raw.withColumn("word", normal_word(F.col("_w"))).where("word <> ''").groupBy(*keep, "word").agg(F.sum("_n").alias("n"))
+
+
 def slug(c: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("")), F.lit("run"))
 

@@ -83,3 +83,12 @@ def similarity(a: Column, b: Column) -> Column:
 
 def reconcile(ref: Column, heard: Column, starts: Column) -> Column:
     return F.pandas_udf(_reconcile, "array<struct<i:int,word:string,heard:string,at:double>>")(ref, heard, starts)
+
+
+def _matched(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Places (i, j) of the words that two arrays agree on."""
+    return pd.Series([[{"i": i + k, "j": j + k} for i, j, n in blocks(list(x), list(y)) for k in range(n)] if x is not None and y is not None else [] for x, y in zip(a, b, strict=True)])
+
+
+def matched(a: Column, b: Column) -> Column:
+    return F.pandas_udf(_matched, "array<struct<i:int,j:int>>")(a, b)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import document_queries, events_queries, score_queries  # noqa: F401  (they register their queries)
+from . import document_queries, events_queries, note_queries, score_queries, song_queries  # noqa: F401  (they register their queries)
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

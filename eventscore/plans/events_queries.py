@@ -38,15 +38,6 @@ def prs10_kv_map(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("event_id", k.alias("k"), (k / 100.0).alias("share"))
 
 
-@query("""select p_partkey, case when regexp_matches(p_name, '^.+ - .+$') then regexp_extract(p_name, '^(.+?) - (.+)$', 2) when regexp_matches(p_name, '^[^ ]+ .+$') then regexp_extract(p_name, '^([^ ]+) (.+)$', 2) else p_name end as title,
- case when regexp_matches(p_name, '^.+ - .+$') then regexp_extract(p_name, '^(.+?) - (.+)$', 1) when regexp_matches(p_name, '^[^ ]+ .+$') then regexp_extract(p_name, '^([^ ]+) (.+)$', 1) else '' end as artist from part""")
-def prs15_name_split(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("p_name")
-    dash, space = n.rlike("^.+ - .+$"), n.rlike("^[^ ]+ .+$")
-    pick = lambda g: F.when(dash, F.regexp_extract(n, "^(.+?) - (.+)$", g)).when(space, F.regexp_extract(n, "^([^ ]+) (.+)$", g))
-    return table(spark, d, "part").select("p_partkey", pick(2).otherwise(n).alias("title"), pick(1).otherwise("").alias("artist"))
-
-
 NAMES_SQL = "['C','C#','D','D#','E','F','F#','G','G#','A','A#','B']"
 
 
@@ -68,7 +59,7 @@ def scl6_bar_beat(spark: SparkSession, d: str) -> DataFrame:
 @query("""with w as (select lang, unnest(string_split(replace(lower(text), '-', ' '), ' ')) as w from documents), n as (select lang, trim(regexp_replace(w, '[^a-z0-9'']', '', 'g'), '''') as word from w)
  select lang, word, count(*) as n from n where word <> '' group by lang, word""")
 def scl8_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return text.heard_words(table(spark, d, "documents"), "text", ["lang"]).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    return text.word_counts(table(spark, d, "documents"), "text", ["lang"])
 
 
 @query("""with {ev}, g as (select user_id, event_type, sum(value) as s, max(t) as last from ev group by 1, 2)

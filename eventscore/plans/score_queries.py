@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import pitch
-from ..operators import align, folds, joins, measures, scoring, series, signal
+from ..operators import align, folds, joins, measures, scoring, series
 from ..streaming.windows import streamed_counts
 from .base import events, query, r4, table
 from .events_queries import HOURLY_SQL, H, hourly
@@ -145,7 +145,7 @@ def rpt3_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with u as (select user_id, event_type as inst, event_id as pos from events where event_type in ('click', 'view') union all select user_id, 'ah', event_id from events where event_type = 'error'), m as (select user_id, inst, count(*) as notes, min(pos) as first from u group by 1, 2) select user_id, inst, notes, first, edge from m join (select distinct user_id, cast(floor(value / 100) as bigint) as edge from events) using (user_id)""")
-def set1_union(spark: SparkSession, d: str) -> DataFrame:
+def set2_fillers(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d)
     u = e.where("event_type in ('click', 'view')").select("user_id", F.col("event_type").alias("inst"), F.col("event_id").alias("pos")).unionByName(e.where("event_type = 'error'").select("user_id", F.lit("ah").alias("inst"), F.col("event_id").alias("pos")))
     edges = e.select("user_id", F.floor(F.col("value") / 100).alias("edge")).distinct()
@@ -170,7 +170,7 @@ def jon15_align(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with c as (select conv_id, turn, role, text, len(string_split(text, ' ')) as words, avg(len(string_split(text, ' '))) over (partition by conv_id) as mean, max(turn) over (partition by conv_id) as last from conversations)
  select conv_id, turn, role from c where not (role = 'assistant' and words < 0.5 * mean) and turn < last - 0.05 and text not in ('Thank you.', 'Thanks for watching!')""")
-def flt6_filter(spark: SparkSession, d: str) -> DataFrame:
+def flt10_before_end(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("conv_id")
     n = F.size(F.split("text", " "))
     c = table(spark, d, "conversations").withColumn("words", n).withColumn("mean", F.avg("words").over(w)).withColumn("last", F.max("turn").over(w))
@@ -202,10 +202,10 @@ def reconcile(spark: SparkSession, d: str) -> DataFrame:
     return b.select("item_id", F.explode(align.reconcile(F.col("ref"), heard, times)).alias("x")).select("item_id", F.col("x.i").cast("long").alias("i"), "x.word", "x.heard", r4(F.col("x.at"), "at"))
 
 
-@query()
+@query("select cast(floor(epoch(ts) / 21600) * 21600 as bigint) as a, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Window counts by a stream over events; tests hold them against the batch query."""
-    return streamed_counts(spark, f"{d}/events.parquet")
+    """Window counts by a stream over events."""
+    return streamed_counts(spark, f"{d}/events.parquet").withColumn("a", F.unix_timestamp("a"))
 
 
 @query("""with s as (select unnest(range(12)) as k, unnest(['C','C#','D','D#','E','F','F#','G','G#','A','A#','B']) as symbol) select symbol, cast((k + 12 * ceil((28 - k) / 12.0)) * 100 as double) as root, cast((5 * 12 + k) * 100 as double) as cents from s""")
@@ -215,7 +215,7 @@ def scl1_note_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with m as (select user_id, max(value) as peak from events group by 1) select event_id, round(20 * log10(value), 4) as db, cast(round_even(greatest(1, least(127, 20 + 107 * sqrt(value / peak))), 0) as bigint) as vel, case when value / peak >= 0.8 then '' else '?' || cast(cast(floor(value / peak * 100 + 0.5) as bigint) as varchar) end as mark from events join m using (user_id)""")
-def scl7_event_lines(spark: SparkSession, d: str) -> DataFrame:
+def scl20_marks(spark: SparkSession, d: str) -> DataFrame:
     x = events(spark, d).withColumn("q", F.col("value") / F.max("value").over(Window.partitionBy("user_id")))
     return x.select("event_id", r4(20 * F.log10("value"), "db"), F.rint(F.greatest(F.lit(1.0), F.least(F.lit(127.0), 20 + 107 * F.sqrt("q")))).cast("long").alias("vel"), F.when(F.col("q") >= 0.8, "").otherwise(F.concat(F.lit("?"), F.floor(F.col("q") * 100 + 0.5).cast("string"))).alias("mark"))
 
@@ -230,7 +230,7 @@ def scl22_on_off(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""select p_type, split_part(p_type, ' ', 1) as kind, substr(p_type, length(split_part(p_type, ' ', 1)) + 2) as track, count(*) as n, cast(sum(p_size) * 4 + 44 as bigint) as bytes from part group by 1""")
-def scl23_lookup(spark: SparkSession, d: str) -> DataFrame:
+def scl25_sizes(spark: SparkSession, d: str) -> DataFrame:
     kind = F.substring_index("p_type", " ", 1)
     return table(spark, d, "part").groupBy("p_type").agg(F.count("*").alias("n"), (F.sum("p_size") * 4 + 44).alias("bytes")).select("p_type", kind.alias("kind"), F.expr("substring(p_type, length(substring_index(p_type, ' ', 1)) + 2)").alias("track"), "n", "bytes")
 
@@ -270,11 +270,6 @@ def agg27_ratio_err(spark: SparkSession, d: str) -> DataFrame:
     return h.select("event_type", r4(F.abs(F.col("e") / F.nullif("r", F.lit(0.0)) - 1), "err"), "bars")
 
 
-@query()
-def agg14_spectrum(spark: SparkSession, d: str) -> DataFrame:
-    return signal.log_bands(hourly(spark, d), ["event_type"], "frame", "v", 720).select("event_type", "band", r4(F.col("db"), "db"))
-
-
 @query("""with {ev}, x as (select *, abs(value - lag(value) over (partition by user_id order by t, event_id)) >= 60 as s from ev), i as (select *, sum(case when s then 1 else 0 end) over (partition by user_id order by t, event_id rows unbounded preceding) as note from x) select user_id, cast(note as bigint) as note, count(*) as n, round(median(value), 4) as mid, cast(min(floor(t / 7200)) as bigint) as block from i group by 1, 2""")
 def win3_blocks(spark: SparkSession, d: str) -> DataFrame:
     step = F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("t", "event_id"))) >= 60

@@ -34,4 +34,7 @@ def test_equals_oracle(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, DIR).columns
+    """What no SQL expresses is executed; its operators are held against brute force in the other tests."""
+    out = QUERIES[name](spark, DIR)
+    rows = out.collect()
+    assert rows and all(len(r) == len(out.columns) for r in rows)
