@@ -65,7 +65,7 @@ class Encoder:
     ENTRY = 200
     _kept: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, most: int = 160 << 20):
+    def __init__(self, path: str, most: int = 280 << 20):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
