@@ -51,6 +51,19 @@ def cuts_at_blanks(spec: dict) -> bool:
     return not any(c.isspace() for t in spec.get("added_tokens") or () for c in t["content"])
 
 
+#: Alternatives of a pre-tokenizer's expression that all end between a letter or digit and a sign (fixed values).
+RUNS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "[\\p{L}]+", "\\p{L}+", "[\\p{N}]", "[\\p{N}]+", "\\p{N}+", "[^\\s\\p{L}\\p{N}]+"}
+#: Signs at a piece's end that are cut off; no apostrophe, which begins contractions.
+SIGNS = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
+PLAIN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+
+
+def cuts_at_signs(spec: dict) -> bool:
+    """Whether, beside blanks, a text may be cut behind a plain letter or digit where signs follow."""
+    first = spec["pre_tokenizer"]["pretokenizers"][0] if spec["pre_tokenizer"]["type"] == "Sequence" else spec["pre_tokenizer"]
+    return cuts_at_blanks(spec) and set(first["pattern"]["Regex"].split("|")) <= RUNS
+
+
 class Encoder:
     """Ids of whole texts. Where the tokenizer allows it (cuts_at_blanks) a text is cut at plain spaces and line ends, and
     a memory of at most `most` bytes keeps the ids of the pieces that come again; the ids are those of the whole text's
@@ -72,6 +85,7 @@ class Encoder:
         spec = json.loads(self.tok.to_str())
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.cuts = cuts_at_blanks(spec)
+        self.signs = self.cuts and cuts_at_signs(spec)
         self.lowers = any(x["type"] == "Lowercase" for x in (spec.get("normalizer") or {}).get("normalizers", [spec.get("normalizer") or {"type": ""}]))
         self.added = [t["content"][:2].lower() for t in spec.get("added_tokens") or ()]
         self.most, self.held, self.young, self.old = most, 0, {}, {}
@@ -100,8 +114,20 @@ class Encoder:
         rest = [p for p in pieces if p not in self.young]
         self.young.update(zip(rest, self._ids(rest), strict=True))
 
-    def _size(self, pieces: list[str]) -> int:
-        return sum(len(p) + len(self.young[p]) for p in pieces) + self.ENTRY * len(pieces)
+    def _learn_parts(self, pieces: list[str]) -> None:
+        """Learns pieces by their words and the signs behind them, each of which comes again in other pieces."""
+        parts, rest = [], []
+        for p in pieces:
+            word = p.rstrip(SIGNS)
+            if len(word) < len(p) <= 64 and word and word[-1] in PLAIN and not any(a in p.lower() for a in self.added):
+                parts.append((p, word, p[len(word) :]))
+            else:
+                rest.append(p)
+        known = self.young
+        fresh = {x for _, *two in parts for x in two if x not in known} - set(rest)
+        self._learn([*fresh, *rest])
+        self.held += 3 * sum(map(len, fresh)) + self.ENTRY * len(fresh)
+        known.update((p, known[a] + known[b]) for p, a, b in parts)
 
     def _lowered(self, t: str) -> str:
         """In lower case, so that pieces come again more often; not where the start of an added token stands or other letters do."""
@@ -122,11 +148,12 @@ class Encoder:
         new = [p for p in every if p not in self.young]
         self.young.update((p, self.old[p]) for p in new if p in self.old)
         if learn := [p for p in new if p not in self.young]:
-            self._learn(learn)
+            self._learn_parts(learn) if self.signs else self._learn(learn)
         out = [b"".join(map(self.young.__getitem__, pieces)) + last for pieces in cut]
+        # long pieces hardly come again; the others' ids take two bytes a character at most
         for p in (long := [p for p in new if len(p) > 64]):
             del self.young[p]
-        self.held += self._size([p for p in new if len(p) <= 64]) if long else self._size(new)
+        self.held += 3 * (sum(map(len, new)) - sum(map(len, long))) + self.ENTRY * (len(new) - len(long))
         return out
 
 
