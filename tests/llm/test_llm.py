@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -105,14 +106,43 @@ def test_rows_without_names_of_their_own(spark):
 
 
 def test_a_band_of_many_components(spark):
-    """Blocks of two rows: pairs across the parts of a large band are found, and none that doesn't fit leaves the task."""
+    """A group whose members differ from each other by about the bound, in blocks of eight: its links are all found."""
+    rng, w = random.Random(5), prose(200, 750).split()
+    docs = []
+    for i in range(120):
+        new = list(w)
+        for k in rng.sample(range(len(w)), rng.choice([2, 3, 3, 4])):
+            new[k] = f"w{i}x{k}"
+        docs.append((i, " ".join(new)))
+    sets = [shingle_set(t) for _, t in docs]
+    root = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if x == old else x for x in root]
+    assert 1 < len(set(root)) < 110
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = copies.near_copies(df, spark, block=8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == dict(enumerate(root))
+
+
+def test_blocks_of_whole_sets():
     rng = np.random.default_rng(3)
-    n, base = 60, rng.integers(0, 256, (6, 120), dtype="u1")
-    marks = [base[i % 6] for i in range(n)]
-    rows = [(7, *sorted((i % 5, q)), i, 100, i, marks[i].tobytes()) for i in range(n) for q in range(5)]
-    df = spark.createDataFrame(rows, "k long, i int, j int, same long, size long, root long, marks binary").repartition(3, "k", "i", "j").sortWithinPartitions("k", "i", "j")
-    got = {tuple(r) for r in df.mapInArrow(lambda b: copies.fitting(b, 0.8, 0.62, 8), "a long, b long").collect()}
-    assert got == {(a, b) for a in range(n) for b in range(a + 1, n) if a % 6 == b % 6}
+    sets = [np.unique(rng.integers(0, 40, n, dtype="u8")) for n in (0, 1, 5, 30, 30, 60)]
+    both = copies.shared(sets, columns=7)
+    assert all(both[x, y] == len(np.intersect1d(sets[x], sets[y])) for x in range(6) for y in range(6) if x != y)
+    one = np.arange(10, dtype="u8")
+    # 0, 1 and 3 are alike, 1 and 3 of one component: one link joins them; 2 is alone
+    assert copies.forest([one, one, one + np.uint64(50), one], np.array([4, 5, 6, 5]), 0.8) == [(0, 1)]
+    marks = np.array([[1, 1, 1, 1], [1, 1, 1, 2], [1, 1, 1, 1], [7, 7, 7, 7]], "u1")
+    assert copies.near(np.array([9, 9, 5, 9]), np.array([1, 2, 3, 4]), marks, 0.8, 0.7).tolist() == [True, True, False, False]
+    assert not copies.near(np.array([9, 9]), np.array([1, 1]), marks[:2], 0.8, 0.7).any()
+    rows = pa.table({"k": [1, 1, 2, 2, 2, 3], "i": [0, 1, 0, 0, 0, 0], "j": [1] * 6, "v": range(6)})
+    for pack in (1, 3, 100):
+        got = [t["v"].to_pylist() for t in copies.blocks(iter(rows.to_batches(max_chunksize=2)), pack)]
+        assert got == [[0], [1], [2, 3, 4], [5]]
 
 
 def base_of(text):
