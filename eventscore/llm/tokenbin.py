@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
@@ -78,7 +79,7 @@ class Encoder:
     ENTRY = 200
     _kept: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, most: int = 280 << 20):
+    def __init__(self, path: str, most: int = 200 << 20):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -116,10 +117,10 @@ class Encoder:
 
     def _learn_parts(self, pieces: list[str]) -> None:
         """Learns pieces by their words and the signs behind them, each of which comes again in other pieces."""
-        parts, rest = [], []
+        parts, rest, added = [], [], self._added_in(pieces)
         for p in pieces:
             word = p.rstrip(SIGNS)
-            if len(word) < len(p) <= 64 and word and word[-1] in PLAIN and not any(a in p.lower() for a in self.added):
+            if word and len(word) < len(p) <= 64 and word[-1] in PLAIN and p not in added:
                 parts.append((p, word, p[len(word) :]))
             else:
                 rest.append(p)
@@ -134,28 +135,56 @@ class Encoder:
         low = t.lower() if t.isascii() else t
         return t if any(a in low for a in self.added) else low
 
-    def encode_many(self, texts: list[str], end: int | None) -> list[bytes]:
-        last = b"" if end is None else np.array([end], self.dtype).tobytes()
-        if not self.cuts:
-            return [x + last for x in self._ids(texts)]
-        if self.lowers:
-            texts = [self._lowered(t) for t in texts]
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        every = set().union(*cut)
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces, each from memory or learned."""
         if self.held > self.most // 2:
             # the older half goes; what is still in use moves over
             self.old, self.young, self.held = self.young, {}, 0
-        new = [p for p in every if p not in self.young]
-        self.young.update((p, self.old[p]) for p in new if p in self.old)
+        out = list(map(self.young.get, pieces))
+        missed = [k for k, x in enumerate(out) if x is None]
+        if not missed:
+            return out
+        new = list(dict.fromkeys(pieces[k] for k in missed))
+        self.young.update((p, x) for p, x in zip(new, map(self.old.get, new), strict=True) if x is not None)
         if learn := [p for p in new if p not in self.young]:
             self._learn_parts(learn) if self.signs else self._learn(learn)
-        out = [b"".join(map(self.young.__getitem__, pieces)) + last for pieces in cut]
+        for k in missed:
+            out[k] = self.young[pieces[k]]
         # long pieces hardly come again; the others' ids take two bytes a character at most
         for p in (long := [p for p in new if len(p) > 64]):
             del self.young[p]
         self.held += 3 * (sum(map(len, new)) - sum(map(len, long))) + self.ENTRY * (len(new) - len(long))
         return out
 
+    def _added_in(self, pieces: list[str]) -> set[str]:
+        """The pieces that hold the start of an added token."""
+        every = "\n".join(pieces).lower()
+        return {p for p in pieces if any(a in p.lower() for a in self.added)} if any(a in every for a in self.added) else set()
+
+    def encode_array(self, texts: list[str], end: int | None) -> pa.Array:
+        """Every text's ids as bytes. Pieces are split, told apart and put together by Arrow, so Python sees each different one once."""
+        last = b"" if end is None else np.array([end], self.dtype).tobytes()
+        if not self.cuts or not texts:
+            return pa.array([x + last for x in self._ids(texts)] if texts else [], pa.binary())
+        if self.lowers:
+            texts = [self._lowered(t) for t in texts]
+        cut = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], pa.large_string()), " ")
+        told = cut.flatten().dictionary_encode()
+        ends = cut.offsets.to_numpy()
+        # behind the last piece of a text comes its end
+        each = np.insert(told.indices.to_numpy(), ends[1:], len(told.dictionary))
+        pieces = told.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if self.lowers:
+            # a piece of A-Z and signs alone, whatever the rest of its text holds
+            added = self._added_in(pieces)
+            pieces = [p.lower() if p.isascii() and p not in added else p for p in pieces] if added else [p.lower() if p.isascii() else p for p in pieces]
+        ids = pa.array([*self._known(pieces), last], pa.large_binary()).take(pa.array(each))
+        at = np.frombuffer(ids.buffers()[1], "i8", len(ids) + 1, 8 * ids.offset)[ends + np.arange(len(ends))]
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(at.tobytes()), ids.buffers()[2]]).cast(pa.binary())
+
+    def encode_many(self, texts: list[str], end: int | None) -> list[bytes]:
+        return self.encode_array(texts, end).to_pylist()
+
 
 class FrameWriter:
     """Writes one file to a binary sink; memory holds one frame and the index."""
@@ -237,15 +266,15 @@ def encode_frame(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str,
         for b in batches:
             at = 0
             while at < b.num_rows:
-                # about a million characters at a time
+                # about four million characters at a time
                 some, held = [], 0
                 for x in b.column(2)[at:]:
                     some.append(x.as_py() or "")
                     held += len(some[-1])
-                    if held > 1 << 20:
+                    if held > 1 << 22:
                         break
                 part = b.slice(at, len(some))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(enc.encode_many(some, end), pa.binary())], ["id", "tie", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), enc.encode_array(some, end)], ["id", "tie", "ids"])
                 at += len(some)
 
     text = F.col(text_col).cast("string")
