@@ -92,6 +92,11 @@ class Encoder:
         self.most, self.held, self.young, self.old = most, 0, {}, {}
         single = [(m, ids[0]) for m in self.MARKS if len(ids := self.tok.encode(m, add_special_tokens=False).ids) == 1]
         self.sign, self.mark = single[0] if single else ("", None)
+        # which ids end a word, where the model says so by a suffix and takes runs of letters as words
+        suffix = spec["model"].get("end_of_word_suffix") if self.signs and spec["model"]["type"] == "BPE" and not spec["model"].get("unk_token") else None
+        self.closing = np.zeros(1 + max(self.tok.get_vocab().values()), bool) if suffix else None
+        if suffix:
+            self.closing[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -103,6 +108,17 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
+        if self.closing is not None:
+            # words of plain letters need no mark, each is one word of the tokenizer's and ends in a closing id
+            words = [p for p in pieces if p.isascii() and p.isalpha()]
+            for k in range(0, len(words), 4096):
+                some = words[k : k + 4096]
+                ids = np.frombuffer(self._ids([" ".join(some)])[0], self.dtype)
+                ends = np.flatnonzero(self.closing[ids]) + 1
+                if len(ends) == len(some) and ends[-1] == len(ids):
+                    raw, ends = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
+                    self.young.update(zip(some, [raw[x:y] for x, y in zip([0, *ends], ends, strict=False)], strict=True))
+            pieces = [p for p in pieces if p not in self.young]
         plain = [p for p in pieces if self.mark is not None and self.sign not in p]
         for k in range(0, len(plain), 4096):
             some = plain[k : k + 4096]
