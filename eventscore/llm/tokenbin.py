@@ -9,6 +9,7 @@ only the frames that hold the documents asked for.
 
 from __future__ import annotations
 
+import gc
 import json
 import struct
 import uuid
@@ -179,6 +180,16 @@ class Encoder:
 
     def encode_array(self, texts: list[str], end: int | None) -> pa.Array:
         """Every text's ids as bytes. Pieces are split, told apart and put together by Arrow, so Python sees each different one once."""
+        # millions of strings come and go here, none of them in a cycle
+        cycles = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts, end)
+        finally:
+            if cycles:
+                gc.enable()
+
+    def _encode(self, texts: list[str], end: int | None) -> pa.Array:
         last = b"" if end is None else np.array([end], self.dtype).tobytes()
         if not self.cuts or not texts:
             return pa.array([x + last for x in self._ids(texts)] if texts else [], pa.binary())
