@@ -39,9 +39,9 @@ def uncrowded(hits: DataFrame, by: list[str], micros: str, before: int, after: i
     return hits.withColumn("_near", near).where("_near = 1").drop("_near")
 
 
-def hit_decay(onsets: DataFrame, envelope: DataFrame, by: list[str], on: str, value: str, window: float, drop_db: float = 20.0) -> DataFrame:
+def hit_decay(onsets: DataFrame, envelope: DataFrame, by: list[str], on: str, value: str, window: float, drop_db: float = 20.0, silent: float | None = 1e-12) -> DataFrame:
     """(by, decay, hits): the median time from a hit's peak to drop_db below it, in the hit's own window (up to the next hit,
-    `window` at most); hits that never get there, or without a peak, count nowhere.
+    `window` at most); hits that never get there, or whose peak is not above `silent` (None: any peak will do), count nowhere.
 
     Envelope rows take the last hit at or before them, in one sort of both; a hit's window is then a group of its own.
     """
@@ -49,7 +49,8 @@ def hit_decay(onsets: DataFrame, envelope: DataFrame, by: list[str], on: str, va
     both = hits.unionByName(envelope.select(*by, F.col(on).alias("_t"), F.col(value).cast("double").alias("_v"), F.lit(None).cast("double").alias("_hit")))
     w = Window.partitionBy(*by).orderBy("_t", F.col("_hit").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     own = both.withColumn("_of", F.last("_hit", ignorenulls=True).over(w)).where((F.col("_v").isNotNull()) & (F.col("_t") < F.col("_of") + window))
-    peaks = own.groupBy(*by, "_of").agg(F.max(F.struct("_v", (-F.col("_t")).alias("_t"))).alias("p")).where("p._v > 1e-12").select(*by, "_of", F.col("p._v").alias("_peak"), (-F.col("p._t")).alias("_at"))
+    peaks = own.groupBy(*by, "_of").agg(F.max(F.struct("_v", (-F.col("_t")).alias("_t"))).alias("p")).select(*by, "_of", F.col("p._v").alias("_peak"), (-F.col("p._t")).alias("_at"))
+    peaks = peaks if silent is None else peaks.where(F.col("_peak") > silent)
     low = own.join(peaks, [*by, "_of"]).where((F.col("_t") >= F.col("_at")) & (F.col("_v") <= F.col("_peak") * 10 ** (-drop_db / 20)))
     each = low.groupBy(*by, "_of").agg((F.min("_t") - F.first("_at")).alias("_d"))
     return each.groupBy(*by).agg(F.median("_d").alias("decay"), F.count("*").alias("hits"))

@@ -35,3 +35,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r4(c, name: str):
     return F.round(c, 4).alias(name)
+
+
+def product4(c, name: str):
+    """Four places as DuckDB rounds a double: the product with 10000, half away from zero. Spark's round goes by the
+    shortest decimal, which differs where the product falls short of a half."""
+    return (F.round(c * 10000.0) / 10000.0).alias(name)
