@@ -25,9 +25,11 @@ def slug(c: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("")), F.lit("run"))
 
 
-def minutes(seconds: Column) -> Column:
-    s = F.greatest(seconds, F.lit(0.0))
-    return F.coalesce(F.concat(F.floor(s / 60).cast("string"), F.lit(":"), F.lpad((F.floor(s) % 60).cast("string"), 2, "0")), F.lit("?"))
+def minutes(seconds: Column, *, signed: bool = False) -> Column:
+    """`m:ss`; nothing below `0:00`, and `?` for null, unless signed: then the numbers as they are."""
+    s = seconds if signed else F.greatest(seconds, F.lit(0.0))
+    at = F.concat(F.floor(s / 60).cast("string"), F.lit(":"), F.lpad((F.floor(s) % 60).cast("string"), 2, "0"))
+    return at if signed else F.coalesce(at, F.lit("?"))
 
 
 def delta(x: Column) -> Column:

@@ -66,8 +66,12 @@ def scl8_tokens(spark: SparkSession, d: str) -> DataFrame:
  select user_id, event_type, regexp_replace(lower(event_type || ' ' || user_id || '!'), '[^a-z0-9]+', '-', 'g') as slug, cast(floor(last / 60) as bigint) || ':' || lpad(cast(cast(floor(last) as bigint) % 60 as varchar), 2, '0') as at,
  case when round_even(s - 1000, 0) = 0 then '(+0)' when s > 1000 then '(+' || cast(round_even(s - 1000, 0) as bigint) || ')' else '(' || cast(round_even(s - 1000, 0) as bigint) || ')' end as delta from g""")
 def scl11_labels(spark: SparkSession, d: str) -> DataFrame:
-    g = events(spark, d).groupBy("user_id", "event_type").agg(F.sum("value").alias("s"), F.max("t").alias("last"))
-    return g.select("user_id", "event_type", text.slug(F.concat("event_type", F.lit(" "), "user_id", F.lit("!"))).alias("slug"), text.minutes(F.col("last")).alias("at"), text.delta(F.col("s") - 1000).alias("delta"))
+    # values are added in the events' order, or a sum at a half would be rounded by how its rows were dealt out
+    w = Window.partitionBy("user_id", "event_type").orderBy("event_id", "us", "value")
+    e = events(spark, d).select("user_id", "event_type", "t", F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.row_number().over(w).alias("n"))
+    g = e.groupBy("user_id", "event_type").agg(F.max_by("s", "n").alias("s"), F.max("t").alias("last"))
+    name = F.concat("event_type", F.lit(" "), "user_id", F.lit("!"))
+    return g.select("user_id", "event_type", F.when(name.isNotNull(), text.slug(name)).alias("slug"), text.minutes(F.col("last"), signed=True).alias("at"), text.delta(F.col("s") - 1000).alias("delta"))
 
 
 @query("""select event_type, case event_type when 'click' then 'keys' when 'view' then 'strings' when 'purchase' then 'drums' else 'other' end as family, count(*) as n from events group by 1""")

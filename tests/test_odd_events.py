@@ -39,3 +39,16 @@ def test_decay_at_a_half_of_the_last_place(spark, tmp_path):
     rows = [(0, 399117.076247, 1, "purchase", 8.0), (1, 471364.835297, 1, "view", 1.0)]
     got, want = both(spark, tmp_path, "agg26_hit_decay", rows)
     assert got == want == ["(72247.759, 1, 1)"]
+
+
+def test_sums_go_by_the_events_order(spark, tmp_path):
+    values = [0.1, 0.2, 0.3, 1e3, 0.7, 0.2, 1e6, -1e6, 500.0, 0.7, 0.1, 0.2]
+    rows = [(i, 10 * i, u, "view", (values[u:] + values[:u])[k]) for i, (k, u) in enumerate((k, u) for k in range(12) for u in range(12))]
+    got, want = both(spark, tmp_path, "scl11_labels", rows, parts=7)
+    assert got == want
+
+
+def test_labels_of_missing_names_and_times(spark, tmp_path):
+    rows = [(0, 10, 1, None, 3.0), (1, 70, None, "view", 4.0), (2, -30, 2, "view", None), (3, -3600, 3, "view", 1500.5)]
+    got, want = both(spark, tmp_path, "scl11_labels", rows)
+    assert got == want and len(got) == 4
