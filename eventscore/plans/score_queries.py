@@ -216,8 +216,12 @@ def scl1_note_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with m as (select user_id, max(value) as peak from events group by 1) select event_id, round(20 * log10(value), 4) as db, cast(round_even(greatest(1, least(127, 20 + 107 * sqrt(value / peak))), 0) as bigint) as vel, case when value / peak >= 0.8 then '' else '?' || cast(cast(floor(value / peak * 100 + 0.5) as bigint) as varchar) end as mark from events join m using (user_id)""")
 def scl20_marks(spark: SparkSession, d: str) -> DataFrame:
-    x = events(spark, d).withColumn("q", F.col("value") / F.max("value").over(Window.partitionBy("user_id")))
-    return x.select("event_id", r4(20 * F.log10("value"), "db"), F.rint(F.greatest(F.lit(1.0), F.least(F.lit(127.0), 20 + 107 * F.sqrt("q")))).cast("long").alias("vel"), F.when(F.col("q") >= 0.8, "").otherwise(F.concat(F.lit("?"), F.floor(F.col("q") * 100 + 0.5).cast("string"))).alias("mark"))
+    v, peak, inf, nan = F.col("value"), F.col("peak"), float("inf"), float("nan")
+    x = events(spark, d).where("user_id is not null").withColumn("peak", F.max("value").over(Window.partitionBy("user_id")))
+    # as IEEE has it: the logarithm of nothing, and shares of a peak that is nothing
+    x = x.withColumn("q", F.when(peak != 0, v / peak).when(v < 0, -inf).when(v == 0, nan))
+    db = F.when(v > 0, 20 * F.log10("value")).when(v == 0, -inf).when(v < 0, nan)
+    return x.select("event_id", r4(db, "db"), F.rint(F.greatest(F.lit(1.0), F.least(F.lit(127.0), 20 + 107 * F.sqrt("q")))).cast("long").alias("vel"), F.when(F.col("q") >= 0.8, "").otherwise(F.concat(F.lit("?"), F.floor(F.col("q") * 100 + 0.5).cast("string"))).alias("mark"))
 
 
 @query("""with {ev}, x as (select event_id, t + value as t, 0 as o, 'off' as what from ev union all select event_id, t, 1, 'bend' from ev where event_type = 'view' union all select event_id, t, 2, 'on' from ev) select event_id, round(t, 4) as t, what, row_number() over (partition by event_id % 100 order by t, o, event_id) as place, event_id % 100 as track from x""")

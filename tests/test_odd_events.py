@@ -52,3 +52,9 @@ def test_labels_of_missing_names_and_times(spark, tmp_path):
     rows = [(0, 10, 1, None, 3.0), (1, 70, None, "view", 4.0), (2, -30, 2, "view", None), (3, -3600, 3, "view", 1500.5)]
     got, want = both(spark, tmp_path, "scl11_labels", rows)
     assert got == want and len(got) == 4
+
+
+def test_marks_of_zero_negative_and_missing_values(spark, tmp_path):
+    rows = [(0, 1, 1, "view", 0.0), (1, 2, 1, "view", 5.0), (2, 3, 1, "view", -2.0), (3, 4, 1, "view", None), (4, 5, 2, "view", 0.0), (5, 6, 3, "view", -1.0), (6, 7, 3, "view", -4.0), (7, 8, None, "view", 3.0), (8, 9, 4, "view", None)]
+    got, want = both(spark, tmp_path, "scl20_marks", rows)
+    assert got == want and len(got) == 8
