@@ -49,8 +49,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies: five words, similarity of at least 0.8."""
-    return keep_one(docs, spark, find=copies.classes, width=5, similarity=0.8)
+    """The document with the smallest doc_id of each group of near copies: fingerprints of five words within 7 bits, checked
+    by a similarity of at least 0.8, and an exact way for similar texts whose fingerprints are further apart."""
+    return keep_one(docs, spark, find=copies.classes, width=5, radius=7, similarity=0.8)
 
 
 @stage

@@ -1,4 +1,4 @@
-"""Near copies by similarity: links between texts whose shingle sets have a Jaccard similarity of at least a bound."""
+"""Near copies by fingerprints, checked by similarity: links between texts whose shingle sets have a Jaccard similarity of at least a bound."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected
-from .simhash import U, xxh64_many
+from .simhash import U, close_fingerprints, fingerprints, xxh64_many
 
 #: Shingles whose minima are taken at once.
 PIECE = 1 << 15
@@ -123,18 +123,22 @@ def forest(sets: list[np.ndarray], root: np.ndarray, similarity: float) -> list[
     return out
 
 
-def classes(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, bands: int = 30, rows: int = 4, seed: int = 42, block: int = 512) -> DataFrame:
+def classes(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 7, bands: int = 30, rows: int = 4, seed: int = 42, block: int = 512) -> DataFrame:
     """(id, own, group) of every row, null ids too: group is the smallest vertex reachable over links.
 
     Texts are linked if the sets of their shingles of `width` words have a Jaccard similarity of at least `similarity`.
-    Texts with one set are one vertex. Vertices that agree on all `rows` minima of one of `bands` bands are candidates
-    (a pair at 0.8 meets in none of 30 bands of 4 with a chance of 1.4e-7); those whose minima don't rule it out are
-    compared by their whole sets.
-    First every vertex meets the smallest one of all its bands, then every component the smallest one of each band, so a
-    large group of copies costs about a comparison a row. Then, in bands that still hold several components, vertices
-    meet in blocks of `block` rows, a large band's parts pairwise: those with a partner of another component that their
-    minima don't rule out meet again with their whole sets, and a block gives the links that join its components, fewer
-    than it has rows. No pair is left out, and the pairs of a group are never written.
+    Texts with one set are one vertex. Vertices meet by operator 1's fingerprints of `width` words: equal ones, and those
+    within `radius` bits in its blocks, one pair a vertex; what their whole sets bear out is linked.
+
+    64 bits don't hold every such pair (of sf0.1's 48, which differ in up to 14 bits, 13 lie within 7), and a radius that
+    does holds unrelated texts too. So there is a way for the rest: vertices of different components that agree on all
+    `rows` minima of one of `bands` bands are candidates (a pair at 0.8 meets in none of 30 bands of 4 with a chance of
+    1.4e-7); those whose minima don't rule it out are compared by their whole sets. There every vertex meets the smallest
+    one of all its bands, then every component the smallest one of each band, so a large group of copies costs about a
+    comparison a row. Then, in bands that still hold several components, vertices meet in blocks of `block` rows, a large
+    band's parts pairwise: those with a partner of another component that their minima don't rule out meet again with
+    their whole sets, and a block gives the links that join its components, fewer than it has rows. No pair is left out,
+    and the pairs of a group are never written.
 
     Null or wordless texts are copies of each other. Rows with equal ids are judged each by its text.
     """
@@ -147,7 +151,9 @@ def classes(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", tex
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 b = whole.slice(k, 256)
-                sets = [shingles(t, width, seed) for t in b.column(2).cast(pa.large_binary()).to_pylist()]
+                texts = b.column(2).cast(pa.large_binary()).to_pylist()
+                sets = [shingles(t, width, seed) for t in texts]
+                fps = fingerprints(texts, width, seed)
                 sizes = np.array([len(s) for s in sets], "i8")
                 one = b"".join(s.tobytes() for s in sets)
                 same = xxh64_many(one, 8 * (np.cumsum(sizes) - sizes), 8 * sizes, seed)
@@ -160,7 +166,7 @@ def classes(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", tex
                 keys = xxh64_many((keys + np.tile(np.arange(bands, dtype="u8"), len(full))).tobytes(), 8 * np.arange(many), np.full(many, 8), seed)
                 ends = np.cumsum(np.where(sizes > 0, bands, 0))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(keys.view("i8")))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same.view("i8")), pa.array(sizes), pa.array([m.tobytes() for m in marks], pa.binary()), lists], ["id", "own", "same", "size", "marks", "keys"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same.view("i8")), pa.array(sizes), pa.array([m.tobytes() for m in marks], pa.binary()), lists, pa.array(fps.view("i8"))], ["id", "own", "same", "size", "marks", "keys", "fp"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,15 +188,24 @@ def classes(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", tex
             keep = np.array(keep, "i8")
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(c[keep])], ["a", "b"])
 
-    marked = src.select("id", F.xxhash64("text").alias("own"), "text").mapInArrow(sketch, "id long, own long, same long, size long, marks binary, keys array<long>")
+    marked = src.select("id", F.xxhash64("text").alias("own"), "text").mapInArrow(sketch, "id long, own long, same long, size long, marks binary, keys array<long>, fp long")
     marked = scratch.table(marked.withColumn("row", F.monotonically_increasing_id()), "marked")
-    vertex = scratch.table(marked.groupBy("same").agg(F.min("row").alias("row")), "vertex")
+    first = F.min(F.struct("row", "size", "fp")).alias("first")
+    vertex = scratch.table(marked.groupBy("same").agg(first).select("same", "first.row", "first.size", "first.fp"), "vertex")
+    # every vertex with the smallest one of its fingerprint, that with the smallest one of the least fingerprint it meets
+    leads = scratch.table(vertex.where("size > 0").groupBy("fp").agg(F.min("same").alias("lead"), F.max("same").alias("last")), "leads")
+    met = close_fingerprints(leads.select("fp"), spark, scratch, radius).groupBy("a").agg(F.min("b").alias("b"))
+    la, lb = (leads.select(F.col("fp").alias(c), F.col("lead").alias(f"l{c}")) for c in "ab")
+    equal = vertex.where("size > 0").join(leads.where("lead < last"), "fp").where("lead < same").select(F.col("lead").alias("x"), F.col("same").alias("y"))
+    hashed = equal.union(met.join(la, "a").join(lb, "b").select("la", "lb"))
+    hashed = scratch.table(hashed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "hash_pairs")
     keyed = marked.select(F.explode("keys").alias("k"), "same")
     met = scratch.table(keyed.groupBy("k").agg(F.min("same").alias("lead"), F.max("same").alias("last")).where("lead < last").select("k", "lead"), "met")
     mine = scratch.table(keyed.join(met, "k").select("k", "same", "lead").distinct(), "mine")
-    need = scratch.table(mine.select("same").distinct().join(vertex, "same").select("row"), "need")
+    ends = mine.select("same").union(hashed.select("a")).union(hashed.select("b")).distinct()
+    need = scratch.table(ends.join(vertex, "same").select("row"), "need")
     sides = scratch.table(marked.join(need, "row", "left_semi").select("same", "own", "size", "marks"), "sides")
-    scratch.drop("met", "need")
+    scratch.drop("met", "need", "leads", "hot")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs (a, b), a < b, those that are linked by their whole sets."""
@@ -212,9 +227,12 @@ def classes(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", tex
         roots = scratch.table(connected(edges, Scratch(spark, "copies")), f"{name}_roots")
         return scratch.table(mine.select("k", "same").join(roots, mine["same"] == roots["v"], "left").select("k", "same", F.coalesce("root", "same").alias("root")), f"{name}_now")
 
-    # one pair a vertex, with the smallest vertex that it meets
-    first = mine.groupBy("same").agg(F.min("lead").alias("a")).where("a < same").select("a", F.col("same").alias("b"))
-    star = links(likely(first, "star_pairs"), "star")
+    star = links(likely(hashed, "hash_likely"), "hashed")
+    # of the rest one pair a vertex, with the smallest vertex that it meets
+    now = components(star, "hashed")
+    lead = now.groupBy("k").agg(F.min(F.struct("same", "root")).alias("lead"))
+    first = now.join(lead, "k").where(F.col("root") != F.col("lead.root")).groupBy("same").agg(F.min("lead.same").alias("a")).select("a", F.col("same").alias("b"))
+    star = star.union(links(likely(first, "star_pairs"), "star"))
     # then one pair a component and band that it is in
     now = components(star, "star")
     ends = now.groupBy("k", "root").agg(F.min("same").alias("same"))
@@ -222,7 +240,7 @@ def classes(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", tex
     second = ends.join(lead, "k").where(F.col("root") != F.col("lead.root")).select(F.least("same", "lead.same").alias("a"), F.greatest("same", "lead.same").alias("b"))
     star = star.union(links(likely(second, "again_pairs"), "again"))
     now = components(star, "again")
-    scratch.drop("mine", "star_pairs", "again_pairs", "star_now")
+    scratch.drop("mine", "hash_pairs", "hash_likely", "star_pairs", "again_pairs", "hashed_now", "star_now")
     split = now.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("k", F.ceil(F.col("n") / block).cast("int").alias("s"))
     apart = now.join(scratch.table(split, "split"), "k").join(sides.select("same", "size", "marks"), "same")
     part = F.pmod(F.xxhash64("same"), F.col("s")).cast("int")

@@ -263,13 +263,11 @@ def fingerprint_frame(docs: DataFrame, id_col: str, text_col: str, width: int, s
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("own"), text.alias("text")).mapInArrow(run, "id long, own long, fp long")
 
 
-def classes(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, seed: int = 42, block: int = 1024, mean_block: int = 4096) -> DataFrame:
-    """(id, own, fp, group) of every row, null ids too: group is the smallest fingerprint reachable over links."""
+def close_fingerprints(fps: DataFrame, spark: SparkSession, scratch: Scratch, radius: int, *, block: int = 1024, mean_block: int = 4096) -> DataFrame:
+    """Links (a, b), a > b, of different fingerprints (a written table of one column fp) that join what lies within the
+    radius: in every block each fingerprint with the smallest one of its component there."""
     if not 0 <= radius < 8:
         raise ValueError("radius must be from 0 to 7")
-    scratch = Scratch(spark, "simhash")
-    marked = scratch.table(fingerprint_frame(docs, id_col, text_col, width, seed), "marked")
-    fps = scratch.table(marked.select("fp").distinct(), "fps")
     total, pieces = fps.count(), radius + 1
     while total / 2 ** (64 * (pieces - radius) // pieces) > mean_block:
         pieces += 1
@@ -283,7 +281,15 @@ def classes(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", tex
     # so many blocks' rows a task; small inputs keep the session's number
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * math.comb(pieces, radius) / 2_000_000))
     dealt = dealt.repartition(parts, "t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j")
-    edges = dealt.mapInArrow(lambda b: linked(b, radius, block), "a long, b long")
+    return dealt.mapInArrow(lambda b: linked(b, radius, block), "a long, b long")
+
+
+def classes(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, seed: int = 42, block: int = 1024, mean_block: int = 4096) -> DataFrame:
+    """(id, own, fp, group) of every row, null ids too: group is the smallest fingerprint reachable over links."""
+    scratch = Scratch(spark, "simhash")
+    marked = scratch.table(fingerprint_frame(docs, id_col, text_col, width, seed), "marked")
+    fps = scratch.table(marked.select("fp").distinct(), "fps")
+    edges = close_fingerprints(fps, spark, scratch, radius, block=block, mean_block=mean_block)
     roots = scratch.table(connected(edges, scratch), "roots")
     return marked.join(roots, marked["fp"] == roots["v"], "left").select("id", "own", "fp", F.coalesce("root", "fp").alias("group"))
 

@@ -495,6 +495,26 @@ def test_near_copies_by_similarity(spark):
     assert len({r["component_id"] for r in by_fingerprints}) > len({r["component_id"] for r in found})
 
 
+def test_copies_meet_by_fingerprints(spark):
+    """Links come by operator 1's fingerprints, and only those that the whole sets bear out; here no band holds a pair."""
+    w = prose(400, 801).split()
+    edited, other = [*w[:200], "new", *w[201:]], prose(400, 802).split()
+    texts = [" ".join(w), " ".join(edited), " ".join(other), " ".join([*other, *w[:60]])]
+    fps = simhash.fingerprints([t.encode() for t in texts], 5)
+    assert (int(fps[0]) ^ int(fps[1])).bit_count() <= 7
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in copies.near_copies(df, spark, bands=1, rows=400).collect()}
+    assert found == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_fingerprints_alone_link_nothing(spark):
+    """Equal and close fingerprints of texts that share too few shingles."""
+    texts = ["a b c d e", "a b c d e a b c d e", "a b c d e f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [0, 1, 2]
+    assert sorted(r["component_id"] for r in copies.near_copies(df, spark, similarity=0.9).collect()) == want
+
+
 def test_pipeline_drops_edited_copies(spark):
     import corpus_pipeline
 
