@@ -78,7 +78,7 @@ class Encoder:
     MARKS = "\u00b6\u00a7\u2022\u2665\u2764\u2605\u20ac\u2026\u00bb"
     #: Bytes that an entry takes beside its characters and ids: two objects' heads and its place in the table.
     ENTRY = 200
-    _kept: dict[str, Encoder] = {}
+    _kept: dict[tuple[str, int], Encoder] = {}
 
     def __init__(self, path: str, most: int = 200 << 20):
         from tokenizers import Tokenizer
@@ -100,10 +100,10 @@ class Encoder:
             self.closing[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
 
     @classmethod
-    def at(cls, path: str) -> Encoder:
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        return cls._kept[path]
+    def at(cls, path: str, most: int = 200 << 20) -> Encoder:
+        if (path, most) not in cls._kept:
+            cls._kept[path, most] = cls(path, most)
+        return cls._kept[path, most]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -285,20 +285,20 @@ class FrameReader:
         return np.frombuffer(b"".join(out), self.dtype)
 
 
-def encode_frame(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, end: int | None) -> DataFrame:
-    """(id, tie, ids): every text's ids as bytes; tie orders rows of equal id."""
+def encode_frame(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, end: int | None, memory: int = 200 << 20, chars: int = 1 << 22) -> DataFrame:
+    """(id, tie, ids): every text's ids as bytes; tie orders rows of equal id. A worker's memory of pieces takes `memory`
+    bytes at most, and texts are encoded about `chars` characters at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder.at(tokenizer)
+        enc = Encoder.at(tokenizer, memory)
         for b in batches:
             at = 0
             while at < b.num_rows:
-                # about four million characters at a time
                 some, held = [], 0
                 for x in b.column(2)[at:]:
                     some.append(x.as_py() or "")
                     held += len(some[-1])
-                    if held > 1 << 22:
+                    if held > chars:
                         break
                 part = b.slice(at, len(some))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), enc.encode_array(some, end)], ["id", "tie", "ids"])
@@ -376,17 +376,17 @@ def read_documents(folder: str, path: str, size: int, at: Iterable[int]) -> list
         return [reader.ids(k) for k in at]
 
 
-def token_files(docs: DataFrame, spark: SparkSession, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end: int | None = 1, frame_tokens: int = 1 << 16, file_tokens: int = 1 << 26, folder: str | None = None) -> tuple[DataFrame, str]:
+def token_files(docs: DataFrame, spark: SparkSession, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end: int | None = 1, frame_tokens: int = 1 << 16, file_tokens: int = 1 << 26, folder: str | None = None, memory: int = 200 << 20, chars: int = 1 << 22) -> tuple[DataFrame, str]:
     """Encodes whole texts, writes the files in ascending id order; the manifest and the folder (a new shared one if None).
 
     Null text: empty, so only the end id. Null ids come first. Rows of equal id are ordered by a hash of their text;
-    every row is written. An empty table writes no file.
+    every row is written. An empty table writes no file. memory and chars bound a Python worker's, see encode_frame.
     """
     scratch = Scratch(spark, "tokens")
     folder = folder or f"{scratch.path}/files"
     store, base = open_store(folder)
     store.create_dir(base, recursive=True)
-    coded = scratch.table(encode_frame(docs, tokenizer, id_col=id_col, text_col=text_col, end=end), "coded")
+    coded = scratch.table(encode_frame(docs, tokenizer, id_col=id_col, text_col=text_col, end=end, memory=memory, chars=chars), "coded")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     files = write_files(coded, folder, Encoder.at(tokenizer).dtype.itemsize, parts=parts, frame_tokens=frame_tokens, file_tokens=file_tokens)
     manifest = scratch.table(files, "manifest")

@@ -515,6 +515,12 @@ def test_fingerprints_alone_link_nothing(spark):
     assert sorted(r["component_id"] for r in copies.near_copies(df, spark, similarity=0.9).collect()) == want
 
 
+def test_encoder_with_little_memory(spark, tokenizer):
+    df = spark.createDataFrame([(i, prose(300, 900 + i)) for i in range(12)], "doc_id long, text string")
+    much, little = (sorted(tuple(r) for r in tokenbin.token_table(df, spark, tokenizer, **how).collect()) for how in ({}, {"memory": 1 << 12, "chars": 500}))
+    assert much == little and len(much) == 12
+
+
 def test_pipeline_drops_edited_copies(spark):
     import corpus_pipeline
 
