@@ -69,8 +69,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token files' documents, read back: doc_id, start, n_tokens, ids_crc32. The executors' heaps have grown in the
-    stages before, so the encoder remembers less than alone."""
-    return token_table(docs, spark, tokenizer_path(), memory=48 << 20, chars=1 << 20)
+    stages before, so the encoder remembers less than alone, and leaves nothing in the workers that the next run uses."""
+    return token_table(docs, spark, tokenizer_path(), memory=48 << 20, chars=1 << 20, spare=True)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixture", mixture), ("tokens", tokens)]

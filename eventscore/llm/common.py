@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import wraps
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +80,77 @@ class Scratch:
             self._fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
 
 
+#: The setting that bounds the bytes of a batch that goes to a Python worker; by session what it was before, once for each
+#: thread that holds it lower.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_lowered: dict[str, list[str | None]] = {}
+_lowering = threading.Lock()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """What is written inside goes to Python workers in batches of about `size` bytes instead of Spark's 64 MB, which an
+    executor holds twice and more for each task, in the JVM's buffers and the worker's. Threads may overlap: the last one
+    to leave puts back what the first one found."""
+    key = spark._jsparkSession.sessionUUID()
+    with _lowering:
+        held = _lowered.setdefault(key, [])
+        held.append(held[0] if held else spark.conf.get(BATCH, None))
+        spark.conf.set(BATCH, str(size))
+    try:
+        yield
+    finally:
+        with _lowering:
+            was = held.pop()
+            if not held:
+                del _lowered[key]
+                spark.conf.set(BATCH, was) if was else spark.conf.unset(BATCH)
+
+
+def in_small_batches(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator f(docs, spark, ...) whose scratch tables are written in small batches; what it returns to be written
+    later has Spark's."""
+
+    @wraps(f)
+    def run(docs: DataFrame, spark: SparkSession, *args, **how) -> DataFrame:
+        with small_batches(spark):
+            return f(docs, spark, *args, **how)
+
+    return run
+
+
+#: What a Python worker keeps from task to task, by kind. Workers outlive stages, so a lean task of another kind lets it go.
+KEPT: dict[str, dict] = {}
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of mapInArrow that leaves its worker small: before it, what the worker keeps goes, but for the kind
+    `keeps`; behind it, memory that is free goes back to the system."""
+
+    def run_lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(keeps)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return run_lean
+
+
+def let_go(keeps: str = "") -> None:
+    for kind, held in KEPT.items():
+        if kind != keeps:
+            held.clear()
+
+
+def give_back() -> None:
+    """Gives this process' free memory back to the system; allocators else keep it for the next task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's; other libraries have none
+        trim(0)
+
+
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a shared folder (file, hdfs, s3, gs ...), for use on executors, and the path in it."""
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if uri.startswith("/") else uri.replace(":", "://", 1))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected
+from .common import Scratch, connected, in_small_batches, lean
 from .simhash import U, close_fingerprints, fingerprints, xxh64_many
 
 #: Shingles whose minima are taken at once.
@@ -123,6 +123,7 @@ def forest(sets: list[np.ndarray], root: np.ndarray, similarity: float) -> list[
     return out
 
 
+@in_small_batches
 def classes(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 7, bands: int = 30, rows: int = 4, seed: int = 42, block: int = 512) -> DataFrame:
     """(id, own, group) of every row, null ids too: group is the smallest vertex reachable over links.
 
@@ -153,7 +154,7 @@ def classes(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", tex
                 b = whole.slice(k, 256)
                 texts = b.column(2).cast(pa.large_binary()).to_pylist()
                 sets = [shingles(t, width, seed) for t in texts]
-                fps = fingerprints(texts, width, seed)
+                fps = fingerprints(texts, width, seed, PIECE)
                 sizes = np.array([len(s) for s in sets], "i8")
                 one = b"".join(s.tobytes() for s in sets)
                 same = xxh64_many(one, 8 * (np.cumsum(sizes) - sizes), 8 * sizes, seed)
@@ -188,7 +189,7 @@ def classes(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", tex
             keep = np.array(keep, "i8")
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(c[keep])], ["a", "b"])
 
-    marked = src.select("id", F.xxhash64("text").alias("own"), "text").mapInArrow(sketch, "id long, own long, same long, size long, marks binary, keys array<long>, fp long")
+    marked = src.select("id", F.xxhash64("text").alias("own"), "text").mapInArrow(lean(sketch), "id long, own long, same long, size long, marks binary, keys array<long>, fp long")
     marked = scratch.table(marked.withColumn("row", F.monotonically_increasing_id()), "marked")
     first = F.min(F.struct("row", "size", "fp")).alias("first")
     vertex = scratch.table(marked.groupBy("same").agg(first).select("same", "first.row", "first.size", "first.fp"), "vertex")
@@ -213,7 +214,7 @@ def classes(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", tex
         texts = src.select(F.xxhash64("text").alias("own"), "text").join(scratch.table(ends, f"{name}_ends"), "own").select("same", "text").dropDuplicates(["same"])
         texts = scratch.table(texts, f"{name}_texts")
         both = pairs.join(texts.select(F.col("same").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("same").alias("b"), F.col("text").alias("t")), "b")
-        out = scratch.table(both.select("a", "b", "s", "t").mapInArrow(compare, "a long, b long"), name)
+        out = scratch.table(both.select("a", "b", "s", "t").mapInArrow(lean(compare), "a long, b long"), name)
         scratch.drop(f"{name}_ends", f"{name}_texts")
         return out
 
@@ -221,7 +222,7 @@ def classes(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", tex
 
     def likely(pairs: DataFrame, name: str) -> DataFrame:
         both = pairs.distinct().join(x, "a").join(y, "b").where(F.least("za", "zb") >= similarity * F.greatest("za", "zb")).select("a", "b", "ma", "mb")
-        return scratch.table(both.mapInArrow(alike, "a long, b long"), name)
+        return scratch.table(both.mapInArrow(lean(alike), "a long, b long"), name)
 
     def components(edges: DataFrame, name: str) -> DataFrame:
         roots = scratch.table(connected(edges, Scratch(spark, "copies")), f"{name}_roots")
@@ -270,12 +271,12 @@ def classes(docs: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.binary())], ["same", "set"])
 
     dealt = dealt.repartition(parts, "k", "i", "j").sortWithinPartitions("k", "i", "j")
-    fit = scratch.table(dealt.mapInArrow(partnered, "k long, i int, j int, same long, root long"), "fit")
+    fit = scratch.table(dealt.mapInArrow(lean(partnered), "k long, i int, j int, same long, root long"), "fit")
     ends = scratch.table(fit.select("same").distinct().join(sides.select("same", "own"), "same"), "rest_ends")
     texts = src.select(F.xxhash64("text").alias("own"), "text").join(ends, "own").select("same", "text").dropDuplicates(["same"])
-    sets = scratch.table(texts.mapInArrow(whole_sets, "same long, set binary"), "sets")
+    sets = scratch.table(texts.mapInArrow(lean(whole_sets), "same long, set binary"), "sets")
     again = fit.join(sets, "same").select("k", "i", "j", "same", "root", "set").repartition(parts, "k", "i", "j").sortWithinPartitions("k", "i", "j")
-    edges = star.union(scratch.table(again.mapInArrow(joined, "a long, b long").distinct(), "rest"))
+    edges = star.union(scratch.table(again.mapInArrow(lean(joined), "a long, b long").distinct(), "rest"))
     scratch.drop("now", "split", "sides", "vertex", "fit", "rest_ends", "sets")
     final = scratch.table(connected(edges, Scratch(spark, "copies")), "final")
     return marked.select("id", "own", "same").join(final, marked["same"] == final["v"], "left").select("id", "own", F.coalesce("root", "same").alias("group"))

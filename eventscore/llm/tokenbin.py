@@ -15,6 +15,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, open_store
+from .common import KEPT, Scratch, lean, open_store, small_batches
 
 SKIP, TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 DOC = np.dtype([("at", "<u8"), ("n", "<u8"), ("named", "u1"), ("id", "<i8")])
@@ -78,7 +79,7 @@ class Encoder:
     MARKS = "\u00b6\u00a7\u2022\u2665\u2764\u2605\u20ac\u2026\u00bb"
     #: Bytes that an entry takes beside its characters and ids: two objects' heads and its place in the table.
     ENTRY = 200
-    _kept: dict[tuple[str, int], Encoder] = {}
+    _kept: dict[tuple[str, int], Encoder] = KEPT.setdefault("encoders", {})
 
     def __init__(self, path: str, most: int = 200 << 20):
         from tokenizers import Tokenizer
@@ -285,9 +286,9 @@ class FrameReader:
         return np.frombuffer(b"".join(out), self.dtype)
 
 
-def encode_frame(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, end: int | None, memory: int = 200 << 20, chars: int = 1 << 22) -> DataFrame:
+def encode_frame(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, end: int | None, memory: int = 200 << 20, chars: int = 1 << 22, spare: bool = False) -> DataFrame:
     """(id, tie, ids): every text's ids as bytes; tie orders rows of equal id. A worker's memory of pieces takes `memory`
-    bytes at most, and texts are encoded about `chars` characters at a time."""
+    bytes at most, and texts are encoded about `chars` characters at a time; spare: each task gives free memory back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder.at(tokenizer, memory)
@@ -305,10 +306,10 @@ def encode_frame(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str,
                 at += len(some)
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), text.alias("text")).mapInArrow(run, "id long, tie long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), text.alias("text")).mapInArrow(lean(run, "encoders") if spare else run, "id long, tie long, ids binary")
 
 
-def write_files(coded: DataFrame, folder: str, width: int, *, parts: int, frame_tokens: int, file_tokens: int, file_docs: int = 1 << 20) -> DataFrame:
+def write_files(coded: DataFrame, folder: str, width: int, *, parts: int, frame_tokens: int, file_tokens: int, file_docs: int = 1 << 20, spare: bool = False) -> DataFrame:
     """Writes (id, tie, ids) in ascending order as files below folder: (part, seq, path, bytes, n_docs, n_tokens).
 
     Every attempt of a task writes under names of its own and only the committed attempt's rows name files, so a lost
@@ -341,10 +342,10 @@ def write_files(coded: DataFrame, folder: str, width: int, *, parts: int, frame_
             yield close()
 
     ordered = coded.repartitionByRange(parts, F.col("id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("id").asc_nulls_first(), "tie").select("id", "ids")
-    return ordered.mapInArrow(run, "part long, seq long, path string, bytes long, n_docs long, n_tokens long")
+    return ordered.mapInArrow(lean(run) if spare else run, "part long, seq long, path string, bytes long, n_docs long, n_tokens long")
 
 
-def read_files(manifest: DataFrame, folder: str) -> DataFrame:
+def read_files(manifest: DataFrame, folder: str, *, spare: bool = False) -> DataFrame:
     """Every document of the files that a manifest names: (id, start, n_tokens, ids_crc32), each from its own frames."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +366,7 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
     numbered = manifest.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     # a number of partitions, or else Spark merges these small rows into one task
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return numbered.select("path", "bytes", "first").repartition(parts, "path").mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
+    return numbered.select("path", "bytes", "first").repartition(parts, "path").mapInArrow(lean(run) if spare else run, "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_documents(folder: str, path: str, size: int, at: Iterable[int]) -> list[np.ndarray]:
@@ -376,25 +377,27 @@ def read_documents(folder: str, path: str, size: int, at: Iterable[int]) -> list
         return [reader.ids(k) for k in at]
 
 
-def token_files(docs: DataFrame, spark: SparkSession, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end: int | None = 1, frame_tokens: int = 1 << 16, file_tokens: int = 1 << 26, folder: str | None = None, memory: int = 200 << 20, chars: int = 1 << 22) -> tuple[DataFrame, str]:
+def token_files(docs: DataFrame, spark: SparkSession, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end: int | None = 1, frame_tokens: int = 1 << 16, file_tokens: int = 1 << 26, folder: str | None = None, memory: int = 200 << 20, chars: int = 1 << 22, spare: bool = False) -> tuple[DataFrame, str]:
     """Encodes whole texts, writes the files in ascending id order; the manifest and the folder (a new shared one if None).
 
     Null text: empty, so only the end id. Null ids come first. Rows of equal id are ordered by a hash of their text;
-    every row is written. An empty table writes no file. memory and chars bound a Python worker's, see encode_frame.
+    every row is written. An empty table writes no file. memory and chars bound a Python worker's, see encode_frame; spare:
+    for workers that other operators use too, in small batches, free memory and at the end the encoder's given back.
     """
     scratch = Scratch(spark, "tokens")
     folder = folder or f"{scratch.path}/files"
     store, base = open_store(folder)
     store.create_dir(base, recursive=True)
-    coded = scratch.table(encode_frame(docs, tokenizer, id_col=id_col, text_col=text_col, end=end, memory=memory, chars=chars), "coded")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    files = write_files(coded, folder, Encoder.at(tokenizer).dtype.itemsize, parts=parts, frame_tokens=frame_tokens, file_tokens=file_tokens)
-    manifest = scratch.table(files, "manifest")
+    with small_batches(spark) if spare else nullcontext():
+        coded = scratch.table(encode_frame(docs, tokenizer, id_col=id_col, text_col=text_col, end=end, memory=memory, chars=chars, spare=spare), "coded")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        files = write_files(coded, folder, Encoder.at(tokenizer).dtype.itemsize, parts=parts, frame_tokens=frame_tokens, file_tokens=file_tokens, spare=spare)
+        manifest = scratch.table(files, "manifest")
     scratch.drop("coded")
     return manifest, folder
 
 
-def token_table(docs: DataFrame, spark: SparkSession, tokenizer: str, *, id_col: str = "doc_id", **how) -> DataFrame:
+def token_table(docs: DataFrame, spark: SparkSession, tokenizer: str, *, id_col: str = "doc_id", spare: bool = False, **how) -> DataFrame:
     """Writes docs with token_files and reads the files back: id, start, n_tokens, ids_crc32 a row."""
-    manifest, folder = token_files(docs, spark, tokenizer, id_col=id_col, **how)
-    return read_files(manifest, folder).withColumnRenamed("id", id_col)
+    manifest, folder = token_files(docs, spark, tokenizer, id_col=id_col, spare=spare, **how)
+    return read_files(manifest, folder, spare=spare).withColumnRenamed("id", id_col)
